@@ -16,7 +16,8 @@ documents link when ``den * |A & B| >= num * |A | B|``.
    size form one group, and only groups are indexed.
 4. Group pairs pass a size, a positional and a bitmap filter within the join
    condition, so pairs that fail are never emitted.  Surviving pairs are
-   expanded to members and verified by the intersection of the whole sets.
+   expanded to members, screened by a longer bitmap and verified by the
+   intersection of the whole sets.
 
 Pairs are taken in two rounds.  The first compares each group with one centre
 of each of its index entries, which already joins large groups of near copies
@@ -44,9 +45,10 @@ from .storage import bitset, materialize, sized_broadcast
 MAX_FREQUENT = 1 << 20
 #: Shingles that a partition counts before it reports and forgets them, and the count from which it reports.
 BLOCK, REPORTED = 1 << 21, 4
+#: Words of the bitmap that goes with an index entry; the sketch of a set has as many bits or more.
 BITMAP_WORDS = 8
 
-SETS = "doc_id long, n_shingles long, set_a long, set_b long, prefix_a long, prefix_b long, prefix array<long>, bitmap array<long>"
+SETS = "doc_id long, n_shingles long, set_a long, set_b long, prefix_a long, prefix_b long, prefix array<long>, bitmap array<long>, sketch binary"
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -100,10 +102,14 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         d = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
         return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
-    def bitmap(values: np.ndarray) -> list[int]:
-        # The parity of the shingles in each of 512 bins: two sets differ by at least as many shingles as bins.
-        odd = np.bincount((values >> np.uint64(20) & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
-        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+    def sketch(values: np.ndarray) -> np.ndarray:
+        # The parity of the shingles in each bin: two sets differ by at least as many shingles as bins.
+        # There are four bins or more for each shingle by which sets of this size may differ.
+        bins = 64 * BITMAP_WORDS
+        while bins * (den + num) < 8 * len(values) * (den - num):
+            bins *= 2
+        odd = np.bincount((values >> np.uint64(20) & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little")
 
     def make(batches):
         listed, counts = order.value
@@ -113,7 +119,7 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 k = len(found)
                 n.append(k)
                 if k == 0:
-                    rows.append((0, 0, 0, 0, [], [0] * BITMAP_WORDS))
+                    rows.append((0, 0, 0, 0, [], [0] * BITMAP_WORDS, b""))
                     continue
                 rank = np.zeros(k, dtype=np.int64)
                 if len(listed):
@@ -121,16 +127,44 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     rank = np.where(listed[at] == found, counts[at], 0)
                 keep = k - -(-num * k // den) + 1
                 prefix = found[np.argsort(rank, kind="stable")[:keep]].view(np.int64)
-                rows.append((*digest(found), *digest(prefix), prefix, bitmap(found)))
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+                full = sketch(found)
+                rows.append((*digest(found), *digest(prefix), prefix, _folded(full, 8 * BITMAP_WORDS).view(np.int64), full.tobytes()))
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
             columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *columns], ["doc_id", "n_shingles", "set_a", "set_b", "prefix_a", "prefix_b", "prefix", "bitmap"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *columns], ["doc_id", "n_shingles", "set_a", "set_b", "prefix_a", "prefix_b", "prefix", "bitmap", "sketch"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, SETS)
 
 
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """A sketch with fewer bins, in bytes: bins that become one add their parities."""
+    while len(sketch) > size:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
+
+
+def _screened(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose whole sketches leave a link possible; sketches are far smaller than sets."""
+    side = lambda key, n, sketch: reps.select(F.col("id").alias(key), F.col("n").alias(n), F.col("sketch").alias(sketch))
+    both = pairs.join(side("a", "na", "x"), "a").join(side("b", "nb", "y"), "b")
+
+    def screen(batches):
+        for batch in batches:
+            keep = []
+            for x, y, n in zip(batch.column("x"), batch.column("y"), (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).tolist(), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                size = min(len(x), len(y))
+                unlike = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+                keep.append((num + den) * (n - unlike) >= 2 * num * n)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return materialize(both.mapInArrow(screen, "a long, b long"), "screened")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of representatives whose whole sets link."""
+    pairs = _screened(pairs, reps, num, den)
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     wanted = bitset(ends, "id")
     held = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -177,7 +211,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     classes = materialize(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
 
     reps = usable.join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["set_a", "set_b"])
-    reps = materialize(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "prefix_a", "prefix_b", "prefix", "bitmap"), "reps")
+    reps = materialize(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "prefix_a", "prefix_b", "prefix", "bitmap", "sketch"), "reps")
     groups = materialize(reps.groupBy("prefix_a", "prefix_b", "n").agg(F.min("id").alias("gid"), F.count("*").alias("members")), "groups")
     grouped = reps.select("id", "n", "prefix_a", "prefix_b").join(groups, ["prefix_a", "prefix_b", "n"]).select("id", "gid", "members")
     shared = materialize(grouped.where("members > 1"), "shared")
