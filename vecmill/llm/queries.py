@@ -13,6 +13,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def byte_vocabulary() -> str:
+    """The byte-level tokenizer file installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents: 3-word shingles, Jaccard 0.9."""
     from .jaccard_join import jaccard_components
@@ -20,8 +27,23 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of all documents, and of what their tokens decode to."""
+    from .bpe import bpe_roundtrip
+
+    return bpe_roundtrip(_table(spark, sf_dir, "documents"), byte_vocabulary())
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 tokens."""
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), byte_vocabulary(), window=2048)
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_jaccard_join": op3_jaccard_join}
+    found = [op3_jaccard_join, op6_bpe, op10_packing]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
