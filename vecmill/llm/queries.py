@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+LINE_RATIO, LINE_PAGES = 0.05, 5
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,6 +22,21 @@ def byte_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, posterior and acceptance of all pages."""
+    from .langid import identify_pages
+
+    return identify_pages(_table(spark, sf_dir, "pages"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the boilerplate lines of their source."""
+    from .line_dedup import drop_boilerplate
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return drop_boilerplate(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES).select("doc_id", "source", "text", "n_lines", "n_dropped")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents: 3-word shingles, Jaccard 0.9."""
     from .jaccard_join import jaccard_components
@@ -41,10 +58,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), byte_vocabulary(), window=2048)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    found = [op3_jaccard_join, op6_bpe, op10_packing]
+    found = [op1_language_id, op8_line_dedup, op3_jaccard_join, op6_bpe, op10_packing, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .line_dedup import line_dedup_sql
+
+    return {"op8_line_dedup": line_dedup_sql(LINE_RATIO, LINE_PAGES)}
