@@ -39,12 +39,14 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import connected_components
-from .storage import bitset, materialize, sized_broadcast
+from .storage import batch_rows, bitset, materialize, sized_broadcast
 
 #: Entries of the broadcast order table, at most (16 bytes each).
 MAX_FREQUENT = 1 << 20
 #: Shingles that a partition counts before it reports and forgets them, and the count from which it reports.
 BLOCK, REPORTED = 1 << 21, 4
+#: Rows of an Arrow batch with texts, and with two sets.
+TEXT_ROWS, SET_ROWS = 1000, 200
 #: Words of the bitmap that goes with an index entry; the sketch of a set has as many bits or more.
 BITMAP_WORDS = 8
 
@@ -79,7 +81,8 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
                     block, size = [], 0
         yield report(block, size)
 
-    counts = materialize(docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        counts = materialize(docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
     total = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
     # A block reports a shingle at REPORTED or more, so a sum is short of the true count by less than
     # REPORTED a block.  Sums over `least` number under 2 * MAX_FREQUENT / 2.
@@ -180,7 +183,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
     sets = rows.mapInArrow(some, "id long, shingles binary")
     needed = ends.distinct()
     # A doc_id that stands on several rows has as many sets; its pairs are then checked for each.
-    sets = materialize(sets.join(needed, "id", "left_semi"), "sets")
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        sets = materialize(sets.join(needed, "id", "left_semi"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def check(batches):
@@ -192,7 +196,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
                 keep.append(same > 0 and den * same >= num * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(both.mapInArrow(check, "a long, b long").distinct(), "verified")
+    with batch_rows(docs.sparkSession, SET_ROWS):
+        return materialize(both.mapInArrow(check, "a long, b long").distinct(), "verified")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -206,7 +211,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     doc_id: counted, linked with nothing, component_id null.  Repeated rows are copies of each
     other; rows with one doc_id and different texts are versions of one document, linked by their id.
     """
-    sets = materialize(shingle_sets(docs, width, num, den), "shingles")
+    sets = shingle_sets(docs, width, num, den)
+    with batch_rows(docs.sparkSession, TEXT_ROWS):
+        sets = materialize(sets, "shingles")
     usable = sets.where("doc_id is not null and n_shingles > 0")
     classes = materialize(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
 

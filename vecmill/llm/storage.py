@@ -9,6 +9,7 @@ absent (tests, notebooks) a folder of this process is used.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -38,6 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Rows of an Arrow batch while tables are written: wide rows need small batches to fit a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sized_broadcast(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
     """``df``, written out, with a broadcast hint if it has at most ``rows`` narrow rows; else it joins by a shuffle."""
     df = materialize(df, "side")
