@@ -51,6 +51,26 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_roundtrip(_table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of all documents."""
+    from .licenses import license_digest, license_scan
+
+    return license_digest(license_scan(_table(spark, sf_dir, "documents")))
+
+
+#: A conversation whose texts are control strings of another template.
+_EXTRA = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations, and of one made of control strings."""
+    from .chat import digest_conversations
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(_EXTRA, "conv_id long, turn long, role string, text string")
+    return digest_conversations(rows.unionByName(extra))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 tokens."""
     from .packing import pack_documents
@@ -66,11 +86,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_language_id, op8_line_dedup, op3_jaccard_join, op6_bpe, op10_packing, pipeline]
+    found = [op1_language_id, op8_line_dedup, op3_jaccard_join, op6_bpe, op7_license_scan, op9_chat_format, op10_packing, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .chat import digest_sql
     from .line_dedup import line_dedup_sql
 
-    return {"op8_line_dedup": line_dedup_sql(LINE_RATIO, LINE_PAGES)}
+    extra = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in _EXTRA)
+    return {"op9_chat_format": digest_sql(extra), "op8_line_dedup": line_dedup_sql(LINE_RATIO, LINE_PAGES)}
