@@ -15,6 +15,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: All pairs of a label, for tables of the size on which queries are compared.
+EMBEDDINGS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM u AS a JOIN u AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT u.vec_id, min(w.vec_id) AS class_id, count(*) AS class_size FROM u JOIN u AS w ON u.label = w.label AND u.e = w.e GROUP BY u.vec_id)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept,
+  coalesce(k.class_id, vec_id) AS class_id, coalesce(k.class_size, 1) AS class_size FROM c LEFT JOIN k USING (vec_id)"""
+
+
 def byte_vocabulary() -> str:
     """The byte-level tokenizer file installed on every machine."""
     import public_tokenizers
@@ -37,6 +51,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES).select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings of a label: cosine 0.98."""
+    from .embed_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of all pages' URLs."""
+    from .url_filter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents: 3-word shingles, Jaccard 0.9."""
     from .jaccard_join import jaccard_components
@@ -86,13 +114,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_language_id, op8_line_dedup, op3_jaccard_join, op6_bpe, op7_license_scan, op9_chat_format, op10_packing, pipeline]
+    found = [op1_language_id, op2_embedding_dedup, op3_jaccard_join, op4_url_filter, op6_bpe, op7_license_scan, op8_line_dedup, op9_chat_format, op10_packing, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     from .chat import digest_sql
     from .line_dedup import line_dedup_sql
+    from .url_filter import filter_urls_sql
 
     extra = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in _EXTRA)
-    return {"op9_chat_format": digest_sql(extra), "op8_line_dedup": line_dedup_sql(LINE_RATIO, LINE_PAGES)}
+    return {"op2_embedding_dedup": EMBEDDINGS_SQL, "op4_url_filter": filter_urls_sql(), "op9_chat_format": digest_sql(extra), "op8_line_dedup": line_dedup_sql(LINE_RATIO, LINE_PAGES)}
