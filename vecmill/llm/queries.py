@@ -72,6 +72,14 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, num=9, den=10)
 
 
+def op5_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each document whose id is divisible by 20, against all documents."""
+    from .bm25 import search
+
+    docs = _table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 20 = 0"), k=10, cluster="lang")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of all documents, and of what their tokens decode to."""
     from .bpe import bpe_roundtrip
@@ -92,6 +100,7 @@ _EXTRA = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[I
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all formatted conversations, and of one made of control strings."""
+    from .bm25 import search_sql
     from .chat import digest_conversations
 
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -114,14 +123,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_language_id, op2_embedding_dedup, op3_jaccard_join, op4_url_filter, op6_bpe, op7_license_scan, op8_line_dedup, op9_chat_format, op10_packing, pipeline]
+    found = [op1_language_id, op2_embedding_dedup, op3_jaccard_join, op4_url_filter, op5_bm25_topk, op6_bpe, op7_license_scan, op8_line_dedup, op9_chat_format, op10_packing, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    from .bm25 import search_sql
     from .chat import digest_sql
     from .line_dedup import line_dedup_sql
     from .url_filter import filter_urls_sql
 
     extra = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in _EXTRA)
-    return {"op2_embedding_dedup": EMBEDDINGS_SQL, "op4_url_filter": filter_urls_sql(), "op9_chat_format": digest_sql(extra), "op8_line_dedup": line_dedup_sql(LINE_RATIO, LINE_PAGES)}
+    return {"op2_embedding_dedup": EMBEDDINGS_SQL, "op4_url_filter": filter_urls_sql(), "op5_bm25_topk": search_sql(), "op9_chat_format": digest_sql(extra), "op8_line_dedup": line_dedup_sql(LINE_RATIO, LINE_PAGES)}
