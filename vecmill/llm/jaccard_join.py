@@ -5,12 +5,15 @@ documents link when ``den * |A & B| >= num * |A | B|``.
 
 1. Documents with equal sets collapse into one class (a 128-bit digest of the
    set), represented by the smallest doc_id.
-2. Shingles are ordered rarest first.  The order needs only to be the same for
-   all documents, so it is kept small: every partition counts all its shingles
-   and reports those that are frequent within a block; the reported ones come
-   last, by count, the others first, by hash.  ``MAX_FREQUENT`` bounds the table
-   that is broadcast: a shingle is listed from a fixed share of all occurrences
-   on, and no more shingles than its inverse can reach a share.
+2. Shingles are ordered rarest first.  Any order does that is the same for all
+   documents, so what is known of it is kept small.  Every partition counts all
+   its shingles and reports those that are frequent within a block, and those
+   whose hashes are so small that they would be in a prefix by hash.  Shingles
+   that one document has come first, then those that are shared, then frequent
+   ones by their count, each by hash.  The first two are told apart by a filter
+   of fixed size.  ``MAX_FREQUENT`` bounds the table of counts: a shingle is
+   listed from a fixed share of all occurrences on, and no more shingles than
+   its inverse can reach that share.
 3. A pair that links must share a shingle among the first
    ``n - ceil(t * n) + 1`` of each.  Classes with the same prefix and the same
    size form one group, and only groups are indexed.
@@ -39,12 +42,14 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import connected_components
-from .storage import batch_rows, bitset, materialize, sized_broadcast
+from .storage import Bitset, batch_rows, bitset, materialize, sized_broadcast
 
 #: Entries of the broadcast order table, at most (16 bytes each).
 MAX_FREQUENT = 1 << 20
 #: Shingles that a partition counts before it reports and forgets them, and the count from which it reports.
 BLOCK, REPORTED = 1 << 21, 4
+#: Shingles reported of a document, in quarters of its prefix, and bits of the filter of shared ones (32 MB at most).
+POOL, SHARED_BITS = 5, 28
 #: Rows of an Arrow batch with texts, and with two sets.
 TEXT_ROWS, SET_ROWS = 1000, 200
 #: Words of the bitmap that goes with an index entry; the sketch of a set has as many bits or more.
@@ -60,37 +65,45 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]
             yield first + k, np.unique(tx.shingles(hashes[offsets[k] : offsets[k + 1]], width))
 
 
-def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and ranks of the shingles that come last in the order."""
+def _prefix_size(n: int, num: int, den: int) -> int:
+    return n - -(-num * n // den) + 1
 
-    def report(block: list[np.ndarray], total: int) -> pa.RecordBatch:
+
+def _order(docs: DataFrame, width: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, Bitset]:
+    """What the order of shingles rests on: hashes (sorted) and counts of the frequent ones, and a filter of the shared ones."""
+
+    def report(block: list[np.ndarray], pool: list[np.ndarray], total: int) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(block), return_counts=True) if block else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        low = np.unique(np.concatenate(pool)) if pool else np.empty(0, np.uint64)
         keep = counts >= REPORTED
+        if len(low):
+            keep |= low[np.minimum(np.searchsorted(low, values), len(low) - 1)] == values
         # The row without a hash carries the number of occurrences counted.
         h = pa.concat_arrays([pa.array(values[keep].view(np.int64)), pa.array([None], pa.int64())])
         return pa.RecordBatch.from_arrays([h, pa.array(np.append(counts[keep], total))], ["h", "n"])
 
     def count(batches):
-        block, size = [], 0
+        block, pool, size = [], [], 0
         for batch in batches:
             for _, found in _sets(batch, width):
                 block.append(found)
+                pool.append(found[: _prefix_size(len(found), num, den) * POOL // 4])
                 size += len(found)
                 if size >= BLOCK:
-                    yield report(block, size)
-                    block, size = [], 0
-        yield report(block, size)
+                    yield report(block, pool, size)
+                    block, pool, size = [], [], 0
+        yield report(block, pool, size)
 
     with batch_rows(docs.sparkSession, TEXT_ROWS):
-        counts = materialize(docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "frequent")
+        counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1 or h is null")
+        counts = materialize(counts, "frequent")
     total = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
-    # A block reports a shingle at REPORTED or more, so a sum is short of the true count by less than
-    # REPORTED a block.  Sums over `least` number under 2 * MAX_FREQUENT / 2.
+    # Sums over this number less than MAX_FREQUENT shingles, as all occurrences number `total`.
     least = max(2 * REPORTED, total // MAX_FREQUENT)
     found = counts.where(F.col("h").isNotNull() & (F.col("n") > least)).toArrow()
     h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
     at = np.argsort(h)
-    return h[at], n[at]
+    return h[at], n[at], bitset(counts, "h", SHARED_BITS, hashed=True)
 
 
 def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -98,8 +111,7 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     A text without words gives size 0 and no prefix.
     """
-    listed, counts = _frequent(docs, width)
-    order = docs.sparkSession.sparkContext.broadcast((listed, counts))
+    order = docs.sparkSession.sparkContext.broadcast(_order(docs, width, num, den))
 
     def digest(values: np.ndarray) -> tuple[int, int]:
         d = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
@@ -115,7 +127,7 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         return np.packbits(odd.astype(np.uint8), bitorder="little")
 
     def make(batches):
-        listed, counts = order.value
+        listed, counts, shared = order.value
         for batch in batches:
             n, rows = [], []
             for _, found in _sets(batch, width):
@@ -124,12 +136,11 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 if k == 0:
                     rows.append((0, 0, 0, 0, [], [0] * BITMAP_WORDS, b""))
                     continue
-                rank = np.zeros(k, dtype=np.int64)
+                rank = shared.contains(found.view(np.int64)).astype(np.int64)
                 if len(listed):
                     at = np.minimum(np.searchsorted(listed, found), len(listed) - 1)
-                    rank = np.where(listed[at] == found, counts[at], 0)
-                keep = k - -(-num * k // den) + 1
-                prefix = found[np.argsort(rank, kind="stable")[:keep]].view(np.int64)
+                    rank = np.where(listed[at] == found, counts[at], rank)
+                prefix = found[np.argsort(rank, kind="stable")[: _prefix_size(k, num, den)]].view(np.int64)
                 full = sketch(found)
                 rows.append((*digest(found), *digest(prefix), prefix, _folded(full, 8 * BITMAP_WORDS).view(np.int64), full.tobytes()))
             kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
@@ -179,7 +190,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
             sets = [found.tobytes() for _, found in _sets(batch, width)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), wanted.hashed(F.col("doc_id")).alias("slot"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), wanted.slot(F.col("doc_id")).alias("slot"))
     sets = rows.mapInArrow(some, "id long, shingles binary")
     needed = ends.distinct()
     # A doc_id that stands on several rows has as many sets; its pairs are then checked for each.
@@ -237,18 +248,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     heads = reps.join(groups.select(F.col("gid").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     entries = heads.select(F.col("id").alias("gid"), F.explode("prefix").alias("token"))
     tokens = materialize(entries.groupBy("token").agg(F.count("*").alias("c"), F.min("gid").alias("centre")).where("c > 1").select("token", "centre"), "tokens")
-    live = bitset(tokens, "token")
+    live = bitset(tokens, "token", hashed=True)
     held = docs.sparkSession.sparkContext.broadcast(live)
 
     def postings(batches):
         # Only shingles that two groups share go on, so the index is not shuffled whole a second time.
         for batch in batches:
-            hit = held.value.contains(batch.column("slot").to_numpy())
+            hit = held.value.contains(batch.column("token").to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("gid", "n", "token", "at", "bitmap")], ["gid", "n", "token", "at", "bitmap"]).filter(pa.array(hit))
 
     index = (
         heads.select(F.col("id").alias("gid"), "n", "bitmap", F.posexplode("prefix").alias("at", "token"))
-        .withColumn("slot", live.hashed(F.col("token")))
         .mapInArrow(postings, "gid long, n long, token long, at int, bitmap array<long>")
         .join(tokens, "token")
         .select("token", "gid", "n", "at", "centre", *[F.col("bitmap")[k].alias(f"b{k}") for k in range(BITMAP_WORDS)])

@@ -57,41 +57,42 @@ def sized_broadcast(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bitset(ids: DataFrame, column: str, log2_bits: int = 26) -> "Bitset":
+def bitset(ids: DataFrame, column: str, log2_bits: int = 26, hashed: bool = False) -> "Bitset":
     """A one-hash Bloom filter of a long column.
 
     It is made by a grouped ``bit_or``; what reaches the driver are at most
-    ``2 ** (log2_bits - 6)`` words of 16 bytes (16 MB as set here), whatever the
+    ``2 ** (log2_bits - 6)`` words of 16 bytes (16 MB for 26 bits), whatever the
     number of ids.  A full filter lets more rows through and never drops one.
+    ``hashed``: the values are evenly distributed hashes, of which the low bits serve.
     """
-    slot = _slot(F.col(column), log2_bits)
     words = (
         ids.where(F.col(column).isNotNull())
-        .select(slot.alias("s"))
+        .select(_slot(F.col(column), log2_bits, hashed).alias("s"))
         .groupBy(F.shiftright("s", 6).alias("w"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
         .toArrow()
     )
-    return Bitset(words["w"].to_numpy(), words["b"].to_numpy(), log2_bits)
+    return Bitset(words["w"].to_numpy(), words["b"].to_numpy(), log2_bits, hashed)
 
 
-def _slot(x, log2_bits: int):
-    return F.shiftrightunsigned(F.xxhash64(x.cast("long")), 64 - log2_bits)
+def _slot(x, log2_bits: int, hashed: bool):
+    return x.bitwiseAND(F.lit((1 << log2_bits) - 1)) if hashed else F.shiftrightunsigned(F.xxhash64(x.cast("long")), 64 - log2_bits)
 
 
 class Bitset:
-    """Membership test over numpy longs that were hashed by the JVM (see ``hashed``)."""
+    """Membership test over numpy longs: hashes, or slots that the JVM made of other ids (see ``slot``)."""
 
-    def __init__(self, at, words, log2_bits: int):
+    def __init__(self, at, words, log2_bits: int, hashed: bool):
         import numpy as np
 
         self.table = np.zeros(1 << (log2_bits - 6), dtype=np.int64)
         self.table[at] = words
-        self.log2_bits = log2_bits
+        self.log2_bits, self.hashed = log2_bits, hashed
 
-    def hashed(self, column):
-        """The slot column that ``contains`` tests; add it to the rows before they go to Python."""
-        return _slot(column, self.log2_bits)
+    def slot(self, column):
+        """The column that ``contains`` tests for ids that are no hashes; add it to the rows before they go to Python."""
+        return _slot(column, self.log2_bits, self.hashed)
 
     def contains(self, slots):
+        slots = slots & ((1 << self.log2_bits) - 1)
         return (self.table[slots >> 6] >> (slots & 63)) & 1 == 1
