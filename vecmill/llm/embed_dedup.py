@@ -79,7 +79,7 @@ def _runs(batches, names: list[str]) -> Iterator[pa.Table]:
         for at in range(len(keys)):
             if keys[at] != last:
                 if last is not None:
-                    yield pa.Table.from_batches([*held, batch.slice(first, at - first)])
+                    yield pa.Table.from_batches([*held, batch.slice(first, at - first)] if at > first else held)
                 held, first, last = [], at, keys[at]
         held.append(batch.slice(first))
     if held:
