@@ -1,0 +1,223 @@
+"""K-means on DataFrames of vectors.
+
+The training rows are capped at 256 per cluster, written once, and read by one
+job per iteration: centroids are broadcast, every task sums its vectors by
+cluster, and one row per task and cluster is shuffled.
+"""
+
+from __future__ import annotations
+
+import logging
+import math
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import aggregate as A
+from . import kernels as K
+from . import sampling as S
+from .assign import assign
+from .rabitq import rabitq_assign
+
+log = logging.getLogger("vecmill")
+
+
+def normalized(centroids: np.ndarray) -> np.ndarray:
+    """Rows of norm one; zero rows stay zero."""
+    norm = np.linalg.norm(centroids, axis=1, keepdims=True)
+    return np.divide(centroids, norm, out=centroids.copy(), where=norm > 0)
+
+
+@dataclass
+class KMeansModel:
+    """Centroids, and the mean that was taken from the vectors if they were centred."""
+
+    centroids: np.ndarray
+    metric: str
+    mean: np.ndarray | None = None
+    iterations: int = 0
+    shift: float = math.inf
+    history: list[float] = field(default_factory=list)
+
+    def table(self, spark, space: str = "centered") -> DataFrame:
+        """``cid, centroid``; ``space`` is ``centered`` or ``original``."""
+        c = self.centroids + self.mean if space == "original" and self.mean is not None else self.centroids
+        return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(c)], "cid int, centroid array<double>")
+
+    def transform(self, vectors: DataFrame, vector: str = "embedding", approximate: bool = False) -> DataFrame:
+        """Label and distance of each vector; ``approximate`` assigns by the quantised index (squared distance only)."""
+        if self.mean is not None:
+            held = F.array(*[F.lit(float(v)) for v in self.mean])
+            vectors = vectors.withColumn(vector, F.zip_with(F.col(vector).cast("array<double>"), held, lambda x, m: x - m))
+        if approximate and self.metric == K.L2:
+            return rabitq_assign(vectors, self.centroids, vector=vector)
+        return assign(vectors, self.centroids, self.metric, vector)
+
+
+@dataclass
+class KMeans:
+    """Parameters of the clustering; ``n_cluster`` None takes the number from the number of rows.
+
+    init: ``sample`` (a seeded sample), ``first`` (the smallest keys) or a matrix.  Training stops
+    after ``max_iter`` iterations, or when the centroids' squared shift falls below ``tolerance``.
+    ``use_residual`` (squared distance only) centres the vectors first.  ``empty_policy``: see
+    ``split_empty``.  ``approximate_from``: rows times dimensions from which the quantised index
+    assigns while training (squared distance only); None: never.
+    """
+
+    n_cluster: int | None = None
+    max_iter: int = 25
+    tolerance: float = 1e-4
+    metric: str = K.L2
+    use_residual: bool = False
+    seed: int = 0
+    init: str | np.ndarray = "sample"
+    empty_policy: str = "split"
+    min_points: int = S.MIN_POINTS
+    max_points: int = S.MAX_POINTS
+    approximate_from: int | None = 1 << 28
+
+    def __post_init__(self):
+        if self.n_cluster is not None and self.n_cluster < 1:
+            raise ValueError("n_cluster must be at least 1")
+        if self.max_iter < 1:
+            raise ValueError("max_iter must be at least 1")
+        if not self.tolerance > 0:
+            raise ValueError("tolerance must be above 0")
+        K.check_metric(self.metric)
+
+    def fit(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> KMeansModel:
+        rows = vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
+        shape = rows.agg(F.count("*").alias("n"), F.min(F.size("x")).alias("lo"), F.max(F.size("x")).alias("hi"), F.sum(F.col("x").isNull().cast("int")).alias("nulls")).first()
+        n, dim = shape["n"], shape["lo"]
+        if not n:
+            raise ValueError("there are no vectors")
+        if shape["nulls"] or shape["lo"] != shape["hi"] or dim < 1:
+            raise ValueError("vectors must have one dimension and no nulls")
+        k = self.n_cluster if self.n_cluster is not None else S.auto_k(n)
+        if n < k:
+            raise ValueError(f"{n} vectors are fewer than {k} clusters")
+        if n < k * self.min_points:
+            raise ValueError(f"{n} vectors are too few for {k} clusters of {self.min_points}")
+        if k * dim * 8 > K.BROADCAST_BYTES:
+            raise ValueError("the centroids exceed the broadcast limit")
+
+        mean = None
+        if self.use_residual and self.metric == K.L2:
+            mean = np.array(A.mean_vector(rows, "x").first()["mean"])
+            held = F.array(*[F.lit(float(v)) for v in mean])
+            rows = rows.withColumn("x", F.zip_with("x", held, lambda a, b: a - b))
+        parts = rows.sparkSession.sparkContext.defaultParallelism
+        train = S.training_rows(rows, k, n, "vec_id", self.seed, self.max_points)
+        # Two copies, so a lost executor does not cost the iterations a recomputation.
+        train = train.repartition(parts, "vec_id").persist(StorageLevel.MEMORY_AND_DISK_2)
+        try:
+            centroids = self._seeds(train, k, dim)
+            if self.metric == K.IP:
+                centroids = normalized(centroids)
+            return self._lloyd(train, centroids, mean, n * dim)
+        finally:
+            train.unpersist()
+
+    def _seeds(self, train: DataFrame, k: int, dim: int) -> np.ndarray:
+        if isinstance(self.init, np.ndarray):
+            if self.init.shape != (k, dim):
+                raise ValueError(f"init must have the shape {(k, dim)}")
+            return self.init.astype(np.float64)
+        if self.init not in ("sample", "first"):
+            raise ValueError(f"no init {self.init!r}")
+        chosen = S.seed_rows(train, k, "vec_id", self.seed) if self.init == "sample" else train.orderBy("vec_id").limit(k)
+        order = S.sample_order("vec_id", self.seed) if self.init == "sample" else F.col("vec_id")
+        return np.array([r["x"] for r in chosen.orderBy(order, "vec_id").collect()], dtype=np.float64)
+
+    def _lloyd(self, train: DataFrame, centroids: np.ndarray, mean: np.ndarray | None, elements: int) -> KMeansModel:
+        approximate = self.metric == K.L2 and self.approximate_from is not None and elements > self.approximate_from
+        model = KMeansModel(centroids, self.metric, mean)
+        for _ in range(self.max_iter):
+            sizes, sums, cost = cluster_sums(train, model.centroids, self.metric, approximate)
+            new = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], model.centroids)
+            new, _ = A.split_empty(new, sizes, self.empty_policy, self.seed + model.iterations)
+            if self.metric == K.IP:
+                new = normalized(new)
+            model.shift = float(((new - model.centroids) ** 2).sum())
+            model.centroids, model.iterations = new, model.iterations + 1
+            model.history.append(cost)
+            log.debug("iteration %d: cost %g, shift %g", model.iterations, cost, model.shift)
+            if model.shift < self.tolerance:
+                break
+        return model
+
+
+def cluster_sums(rows: DataFrame, centroids: np.ndarray, metric: str, approximate: bool = False, vector: str = "x") -> tuple[np.ndarray, np.ndarray, float]:
+    """Sizes, vector sums and total distance of the clusters that the centroids make of ``rows``: one job, k rows come back."""
+    from .rabitq import Index
+
+    k, dim = centroids.shape
+    held = rows.sparkSession.sparkContext.broadcast((centroids, Index.build(centroids) if approximate else None))
+
+    def run(batches):
+        centroids, index = held.value
+        n, total, cost = np.zeros(k, np.int64), np.zeros((k, dim)), np.zeros(k)
+        for batch in batches:
+            x = K.matrix(batch.column("v"), dim)
+            label, best = index.retrieve(x)[:2] if index else K.nearest(x, centroids, metric)
+            cost += np.bincount(label, weights=best, minlength=k)
+            n += np.bincount(label, minlength=k)
+            order = np.argsort(label, kind="stable")
+            own, starts = np.unique(label[order], return_index=True)
+            if len(own):
+                total[own] += np.add.reduceat(x[order], starts, axis=0)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(cost[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], ["cid", "n", "cost", "s"])
+
+    sums = rows.select(F.col(vector).alias("v")).mapInArrow(run, "cid int, n long, cost double, s array<double>")
+    merged = sums.groupBy("cid").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*[F.sum(F.col("s")[i]) for i in range(dim)]).alias("s")).collect()
+    held.unpersist()
+    sizes, total, cost = np.zeros(k, np.int64), np.zeros((k, dim)), 0.0
+    for row in merged:
+        sizes[row["cid"]], total[row["cid"]] = row["n"], row["s"]
+        cost += row["cost"]
+    return sizes, total, cost
+
+
+def hierarchical(vectors: DataFrame, k_top: int, k_each: int, key: str = "vec_id", vector: str = "embedding", **params) -> np.ndarray:
+    """Centroids of a two-level clustering: ``k_each`` in each of ``k_top`` clusters, fewer where a cluster is small."""
+    top = KMeans(k_top, **params).fit(vectors, key, vector)
+    labelled = top.transform(vectors.select(F.col(key).alias("vec_id"), F.col(vector).alias("embedding"))).select("vec_id", "label")
+    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    least = params.get("min_points", S.MIN_POINTS)
+    parts = []
+    for cid in range(k_top):
+        k = min(k_each, sizes.get(cid, 0) // max(1, least))
+        if k < 1:
+            parts.append(top.centroids[cid : cid + 1])
+            continue
+        own = vectors.select(F.col(key).alias("vec_id"), F.col(vector).alias("embedding")).join(labelled.where(F.col("label") == cid), "vec_id", "left_semi")
+        parts.append(KMeans(k, **params).fit(own).centroids)
+    return np.concatenate(parts)
+
+
+def mini_batch(vectors: DataFrame, k: int, batches: int = 10, key: str = "vec_id", vector: str = "embedding", metric: str = K.L2, seed: int = 0) -> KMeansModel:
+    """Mini-batch K-means: each iteration moves the centroids by one hashed part of the rows, ever less as counts grow."""
+    rows = vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
+    centroids = np.array([r["x"] for r in S.seed_rows(rows, k, "vec_id", seed).collect()], dtype=np.float64)
+    if metric == K.IP:
+        centroids = normalized(centroids)
+    counts = np.zeros(k)
+    model = KMeansModel(centroids, metric)
+    for part in range(batches):
+        some = rows.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(batches)) == part)
+        sizes, sums, cost = cluster_sums(some, model.centroids, metric)
+        counts += sizes
+        rate = np.divide(sizes, counts, out=np.zeros(k), where=counts > 0)[:, None]
+        new = model.centroids * (1 - rate) + rate * np.divide(sums, sizes[:, None], out=model.centroids.copy(), where=sizes[:, None] > 0)
+        if metric == K.IP:
+            new = normalized(new)
+        model.shift = float(((new - model.centroids) ** 2).sum())
+        model.centroids, model.iterations = new, part + 1
+        model.history.append(cost)
+    return model
