@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines leave the texts; n_chars follows."""
-    columns = docs.columns
-    return drop_boilerplate(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES).withColumn("n_chars", F.length("text").cast("long")).select(columns)
+    kept = drop_boilerplate(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES, counts=False)
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

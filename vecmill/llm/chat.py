@@ -272,22 +272,25 @@ class Template:
             self._at += 1
             return [("for", m.group(1), fold(_Expression(m.group(2)).parse()), body)]
         if word == "if":
-            branches, condition = [], fold(_Expression(rest).parse())
+            branches, condition, ends = [], fold(_Expression(rest).parse()), ("elif", "else", "endif")
             while True:
-                branches.append((condition, self._body(("elif", "else", "endif") if condition != ("const", True) or not branches else ("endif",))))
+                branches.append((condition, self._body(ends)))
                 tag = self._tag()
                 self._at += 1
                 if tag[0] == "endif":
                     break
-                condition = fold(_Expression(tag[1]).parse()) if tag[0] == "elif" else ("const", True)
+                if tag[0] == "elif":
+                    condition = fold(_Expression(tag[1]).parse())
+                else:
+                    condition, ends = ("const", True), ("endif",)
             live = []
             for condition, body in branches:
                 if condition[0] != "const":
                     live.append((condition, body))
                 elif condition[1]:
-                    live.append((("const", True), body))
+                    live.append((condition, body))
                     break
-            if live and live[0][0] == ("const", True):
+            if live and live[0][0][0] == "const":
                 return live[0][1]
             return [("if", live)] if live else []
         raise TemplateError(f"no statement {word!r}")

@@ -152,12 +152,12 @@ def identify(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS,
 
     def level(df: DataFrame, key: str) -> DataFrame:
         # Null-safe: pages without a host form one.
-        other = sized_broadcast(sums(key)).withColumnRenamed(key, "_key")
+        other = sized_broadcast(sums(key), 1 << 16).withColumnRenamed(key, "_key")
         return df.join(other, df[key].eqNullSafe(F.col("_key")), "left").drop("_key")
 
     # One row per host carries the sums of all wider levels, so the pages are joined once.
     hosts = level(level(scored.groupBy("host", "domain", "suffix").agg(F.array(*[F.sum(F.col("alone")[i]) for i in range(k)]).alias("host_sum")), "domain"), "suffix")
-    hosts = sized_broadcast(hosts)
+    hosts = sized_broadcast(hosts, 1 << 16)
     same = [scored[c].eqNullSafe(hosts[c]) for c in ("host", "domain", "suffix")]
     pages = scored.join(hosts, same[0] & same[1] & same[2]).select(scored["*"], "host_sum", "domain_sum", "suffix_sum")
 

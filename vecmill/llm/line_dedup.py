@@ -38,29 +38,29 @@ def boilerplate_lines(docs: DataFrame, host: str, text: str, ratio: float, min_p
     return counts.join(totals, counts["host"].eqNullSafe(totals["host"])).select(counts["host"], "line", "pages", "host_pages").where(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and the counts ``n_lines`` and ``n_dropped``.
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5, counts: bool = True) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of ``text`` and, with ``counts``, ``n_lines`` and ``n_dropped``.
 
     A line is dropped where more than ``ratio`` of its host's pages, and ``min_pages`` at least,
     contain it; each page counts once, however often it repeats the line.  Blank lines stay.  Null
     hosts are one host of their own.  A null text stays null with no lines; an empty text has one
-    line, an empty one.  Repeated rows count as pages each.  Other columns pass through; columns
-    named ``n_lines`` or ``n_dropped`` are replaced.
+    line, an empty one.  Repeated rows count as pages each.  Other columns pass through, whatever
+    their names; columns named as the counts are replaced by them.
     """
     found = materialize(boilerplate_lines(docs, host, text, ratio, min_pages).select("host", "line"), "boilerplate")
     n = found.count()
     # At most (lines of a page) / ratio lines of one host can pass, so the arrays are bounded whatever the host's size.
-    by_host = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_drop"))
+    by_host = found.groupBy(F.col("host").alias("h")).agg(F.collect_set("line").alias("drop"))
     if n <= BROADCAST_LINES:
         by_host = F.broadcast(by_host)
-    rows = docs.join(by_host, F.col(host).eqNullSafe(F.col("_host")), "left")
-    kept = F.when(F.col("_drop").isNull(), _lines(text)).otherwise(F.filter(_lines(text), lambda x: ~F.array_contains(F.col("_drop"), _key(x))))
-    rows = rows.withColumn("_kept", kept)
-    out = {c: F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")}
-    out[text] = F.array_join("_kept", "\n")
-    lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text)))
-    counts = [lines.cast("long").alias("n_lines"), (lines - F.when(F.col(text).isNull(), 0).otherwise(F.size("_kept"))).cast("long").alias("n_dropped")]
-    return rows.select(*[c.alias(name) for name, c in out.items()], *counts)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).alias("own"), F.col(text).alias("text"))
+    rows = rows.join(by_host, F.col("own").eqNullSafe(F.col("h")), "left")
+    kept = F.when(F.col("drop").isNull(), _lines("text")).otherwise(F.filter(_lines("text"), lambda x: ~F.array_contains(F.col("drop"), _key(x))))
+    rows = rows.select("row", "text", kept.alias("kept"))
+    size = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
+    new = {"n_lines": size(_lines("text")), "n_dropped": size(_lines("text")) - size(F.col("kept"))} if counts else {}
+    old = [(F.array_join("kept", "\n") if c == text else F.col("row")[c]).alias(c) for c in docs.columns if c not in new]
+    return rows.select(*old, *[c.alias(name) for name, c in new.items()])
 
 
 def line_dedup_sql(ratio: float, min_pages: int) -> str:
