@@ -164,6 +164,17 @@ def test_variants(spark, data):
     v = frame(spark, data)
     assert M.mini_batch(v, 5, 4).iterations == 4
     assert M.hierarchical(v, 3, 4, max_iter=3).shape[1] == 32
+    once, twice = M.KMeans(10, 3).fit(v), M.KMeans(10, 3, redo=3).fit(v)
+    assert twice.history[-1] <= once.history[-1]
+    whole = M.KMeans(5, 3, int_centroids=True).fit(frame(spark, np.round(data * 100))).centroids
+    assert np.array_equal(whole, np.rint(whole))
+
+
+def test_progressive_clustering_keeps_its_quality(spark, data):
+    v = frame(spark, data)
+    grown = A.inertia(N.assign(v, M.progressive(v, 8, steps=4, iterations=5))).first()["value"]
+    plain = A.inertia(N.assign(v, M.KMeans(8, 20).fit(v).centroids)).first()["value"]
+    assert grown < 1.1 * plain
 
 
 def test_numpy_api(spark, data):

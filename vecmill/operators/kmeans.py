@@ -66,7 +66,9 @@ class KMeans:
     after ``max_iter`` iterations, or when the centroids' squared shift falls below ``tolerance``.
     ``use_residual`` (squared distance only) centres the vectors first.  ``empty_policy``: see
     ``split_empty``.  ``approximate_from``: rows times dimensions from which the quantised index
-    assigns while training (squared distance only); None: never.
+    assigns while training (squared distance only); None: never.  ``redo``: trainings from other
+    seeds, of which the one with the least cost stays.  ``int_centroids``: centroids are rounded to
+    whole numbers after each iteration.
     """
 
     n_cluster: int | None = None
@@ -80,6 +82,8 @@ class KMeans:
     min_points: int = S.MIN_POINTS
     max_points: int = S.MAX_POINTS
     approximate_from: int | None = 1 << 28
+    redo: int = 1
+    int_centroids: bool = False
 
     def __post_init__(self):
         if self.n_cluster is not None and self.n_cluster < 1:
@@ -88,6 +92,8 @@ class KMeans:
             raise ValueError("max_iter must be at least 1")
         if not self.tolerance > 0:
             raise ValueError("tolerance must be above 0")
+        if self.redo < 1:
+            raise ValueError("redo must be at least 1")
         K.check_metric(self.metric)
 
     def fit(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> KMeansModel:
@@ -116,22 +122,25 @@ class KMeans:
         # Two copies, so a lost executor does not cost the iterations a recomputation.
         train = train.repartition(parts, "vec_id").persist(StorageLevel.MEMORY_AND_DISK_2)
         try:
-            centroids = self._seeds(train, k, dim)
-            if self.metric == K.IP:
-                centroids = normalized(centroids)
-            return self._lloyd(train, centroids, mean, n * dim)
+            models = []
+            for again in range(self.redo if isinstance(self.init, str) and self.init == "sample" else 1):
+                centroids = self._seeds(train, k, dim, self.seed + again)
+                if self.metric == K.IP:
+                    centroids = normalized(centroids)
+                models.append(self._lloyd(train, centroids, mean, n * dim))
+            return min(models, key=lambda m: m.history[-1])
         finally:
             train.unpersist()
 
-    def _seeds(self, train: DataFrame, k: int, dim: int) -> np.ndarray:
+    def _seeds(self, train: DataFrame, k: int, dim: int, seed: int) -> np.ndarray:
         if isinstance(self.init, np.ndarray):
             if self.init.shape != (k, dim):
                 raise ValueError(f"init must have the shape {(k, dim)}")
             return self.init.astype(np.float64)
         if self.init not in ("sample", "first"):
             raise ValueError(f"no init {self.init!r}")
-        chosen = S.seed_rows(train, k, "vec_id", self.seed) if self.init == "sample" else train.orderBy("vec_id").limit(k)
-        order = S.sample_order("vec_id", self.seed) if self.init == "sample" else F.col("vec_id")
+        chosen = S.seed_rows(train, k, "vec_id", seed) if self.init == "sample" else train.orderBy("vec_id").limit(k)
+        order = S.sample_order("vec_id", seed) if self.init == "sample" else F.col("vec_id")
         return np.array([r["x"] for r in chosen.orderBy(order, "vec_id").collect()], dtype=np.float64)
 
     def _lloyd(self, train: DataFrame, centroids: np.ndarray, mean: np.ndarray | None, elements: int) -> KMeansModel:
@@ -143,6 +152,8 @@ class KMeans:
             new, _ = A.split_empty(new, sizes, self.empty_policy, self.seed + model.iterations)
             if self.metric == K.IP:
                 new = normalized(new)
+            if self.int_centroids:
+                new = np.rint(new)
             model.shift = float(((new - model.centroids) ** 2).sum())
             model.centroids, model.iterations = new, model.iterations + 1
             model.history.append(cost)
@@ -221,3 +232,24 @@ def mini_batch(vectors: DataFrame, k: int, batches: int = 10, key: str = "vec_id
         model.centroids, model.iterations = new, part + 1
         model.history.append(cost)
     return model
+
+
+def progressive(vectors: DataFrame, k: int, steps: int = 10, iterations: int = 10, key: str = "vec_id", vector: str = "embedding", seed: int = 0) -> np.ndarray:
+    """Centroids trained on ever more principal components: step i takes ``int(dim ** ((1 + i) / steps))`` of them.
+
+    Each step starts from the centroids of the one before, with zeros for the new components.
+    """
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = vectors.select(F.col(key).alias("vec_id"), array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    dim = len(rows.first()["v"])
+    pca = PCA(k=dim, inputCol="v", outputCol="p").fit(rows)
+    turned = pca.transform(rows).select("vec_id", vector_to_array("p").alias("p"))
+    centroids: np.ndarray | None = None
+    for i in range(steps):
+        d = max(1, int(dim ** ((1 + i) / steps)))
+        part = turned.select("vec_id", F.slice("p", 1, d).alias("embedding"))
+        init = "sample" if centroids is None else np.pad(centroids, ((0, 0), (0, d - centroids.shape[1])))
+        centroids = KMeans(k, iterations, seed=seed, init=init).fit(part).centroids
+    return centroids @ pca.pc.toArray().T

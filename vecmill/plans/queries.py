@@ -477,3 +477,9 @@ def q_mini_batch(spark, sf_dir):
 def q_hierarchical(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     return N.assign(v, M.hierarchical(v, 3, 3, max_iter=5)).select("vec_id", "label")
+
+
+@_query()
+def q_progressive(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return N.assign(v, M.progressive(v, 3, steps=4, iterations=3)).select("vec_id", "label")
