@@ -4,9 +4,9 @@ Every input partition keeps at most ``OPEN`` unfinished windows.  Of a document
 all whole windows are cut off first; the remaining piece goes into the open
 window whose free room it leaves smallest (best fit).  If no window has room
 and all are in use, the fullest is emitted and a new one is opened.  What is
-still open at the end of a partition is merged: the leftovers of
-``MERGED`` partitions go to one task, which lays them end to end and cuts at
-window borders, so each such task pads at most one window.
+still open at the end of a partition is laid end to end and cut at window
+borders; the last, unfilled windows of ``MERGED`` partitions go to one task,
+which does the same, so a window is padded only once for all of them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Open windows of a partition, and partitions whose leftovers one task merges: together they bound its memory.
+#: Open windows of a partition, and partitions whose last windows one task merges.
 OPEN, MERGED = 64, 32
 END_OF_TEXT = 1
 
@@ -125,7 +125,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, open_wi
 
     A document is its token ids and the end-of-text id 1, so null and empty texts give one piece
     of one token.  Documents longer than a window are cut into whole windows and a rest; leftovers
-    may be cut once more where they are merged.  A null doc_id stays null; repeated rows are packed
+    may be cut again where they are merged.  A null doc_id stays null; repeated rows are packed
     each.  An empty table gives no rows.  Windows with fewer than ``window`` tokens are to be padded.
     """
     fields = PIECES + ", ids binary"
@@ -151,8 +151,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, open_wi
                 if len(out) >= 4096:
                     yield _batch(out, first)
                     out.clear()
-        for key, start, ids, total in packer.leftovers():
-            out.append((key, start, len(ids), None, total, None, None, ids.astype("<u4").tobytes(), -1 - part // MERGED))
+        for _, pieces in end_to_end(packer.leftovers(), window):
+            if sum(len(p[2]) for p in pieces) == window:
+                finish(packer.opened, pieces)
+                packer.opened += 1
+            else:
+                out.extend((key, start, len(ids), None, total, None, None, ids.astype("<u4").tobytes(), -1 - part // MERGED) for key, start, ids, total in pieces)
         yield _batch(out, first)
 
     def merge(batches):
@@ -179,7 +183,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, open_wi
         return _batch([r[:-1] for r in out], PIECES)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, first)
-    # Finished rows are spread evenly; only leftovers, of which each partition has a bounded number, are brought together.
+    # Finished rows are spread evenly; only a window's leftovers of each partition are brought together.
     return rows.repartition("merge_key").sortWithinPartitions("merge_key").mapInArrow(merge, PIECES + ", ids array<int>" * with_ids)
 
 
