@@ -10,7 +10,7 @@ from tests.llm.test_text import check_packing
 from vecmill.llm import queries as Q
 from vecmill.llm.line_dedup import line_dedup_sql
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def test_stages(spark, tmp_path):

@@ -1,8 +1,10 @@
 """Boilerplate lines by their frequency within a host; DataFrame functions only.
 
 For each host, the pages that contain a line are divided by the pages of the
-host; lines above a ratio are dropped.  Lines are compared without the blanks
-around them, by a 64-bit hash and their length.
+host; lines above a ratio are dropped.  Exact copies of a page count once: a
+text that is often copied is no boilerplate, and near-duplicate removal would
+find nothing left of it.  Lines are compared without the blanks around them, and
+pages whole, by a 64-bit hash and their length.
 """
 
 from __future__ import annotations
@@ -31,20 +33,21 @@ def _key(line: Column) -> Column:
 
 def boilerplate_lines(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
     """The lines to drop: ``host, line (struct of hash and length), pages, host_pages``."""
-    totals = docs.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_pages"))
-    each = docs.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(_lines(text), _key))).alias("line")).where("line.n > 0")
-    # The counts are partly summed before they are shuffled, so a line on a third of all pages costs a row per task.
-    counts = each.groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    pages = docs.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.struct(F.xxhash64(text).alias("h"), F.length(text).alias("n")).alias("page"), F.col(text).alias("text"))
+    totals = pages.groupBy("host").agg(F.count_distinct("page").alias("host_pages"))
+    each = pages.select("host", "page", F.explode(F.array_distinct(F.transform(_lines("text"), _key))).alias("line")).where("line.n > 0")
+    # The page is part of the key of the first exchange, so a line on a third of all pages is dealt out evenly.
+    counts = each.distinct().groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     return counts.join(totals, counts["host"].eqNullSafe(totals["host"])).select(counts["host"], "line", "pages", "host_pages").where(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5, counts: bool = True) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 8, counts: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text`` and, with ``counts``, ``n_lines`` and ``n_dropped``.
 
     A line is dropped where more than ``ratio`` of its host's pages, and ``min_pages`` at least,
     contain it; each page counts once, however often it repeats the line.  Blank lines stay.  Null
-    hosts are one host of their own.  A null text stays null with no lines; an empty text has one
-    line, an empty one.  Repeated rows count as pages each.  Other columns pass through, whatever
+    hosts are one host of their own.  A null text stays null, has no lines and is no page; an empty
+    text has one line, an empty one.  Repeated rows are copies.  Other columns pass through, whatever
     their names; columns named as the counts are replaced by them.
     """
     found = materialize(boilerplate_lines(docs, host, text, ratio, min_pages).select("host", "line"), "boilerplate")
@@ -67,8 +70,8 @@ def line_dedup_sql(ratio: float, min_pages: int) -> str:
     """DuckDB SQL for the query over documents."""
     return f"""
 WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-e AS (SELECT source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))))) AS line FROM l),
-t AS (SELECT source, count(*) AS n FROM l GROUP BY source),
+e AS (SELECT DISTINCT source, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))))) AS line FROM l WHERE text IS NOT NULL),
+t AS (SELECT source, count(DISTINCT text) AS n FROM l GROUP BY source),
 c AS (SELECT source, line, count(*) AS pages FROM e WHERE line <> '' GROUP BY source, line),
 b AS (SELECT c.source, list(c.line) AS drop_lines FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
       WHERE c.pages >= {min_pages} AND c.pages > {ratio}::DOUBLE * t.n GROUP BY c.source),

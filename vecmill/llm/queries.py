@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-LINE_RATIO, LINE_PAGES = 0.05, 5
+#: Boilerplate is on more than a twentieth of a host's pages, and on eight at least.
+LINE_RATIO, LINE_PAGES = 0.05, 8
 
 Query = Callable[[SparkSession, str], DataFrame]
 
