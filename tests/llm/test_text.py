@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.helpers import connection, same_rows
@@ -329,4 +330,7 @@ def test_language_edges(spark):
     assert langid.accepted_documents(df.limit(0)).count() == 0
     pages = spark.createDataFrame([(1, None, None), (2, "x", "<html lang=en><body>the and of</body></html>")], "page_id long, url string, html string")
     assert langid.identify_pages(pages).count() == 2
-    assert langid.declared_language('<HTML class="x" LANG = "de-AT">') == "de" and langid.page_text("a<script>b</script><p>c&amp;</p>").split() == ["a", "c&"]
+    said = ['<HTML class="x" LANG = "de-AT">', "<html><meta http-equiv=Content-Language content='fr'>", "<html>", None]
+    codes = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x string").select("i", langid.declared_language(F.col("x")).alias("c"))
+    assert [r["c"] for r in codes.orderBy("i").collect()] == ["de", "fr", None, None]
+    assert langid.page_text("a<script>b</script><p>c&amp;</p>").split() == ["a", "c&"]

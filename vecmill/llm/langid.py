@@ -28,6 +28,9 @@ from .storage import materialize, sized_broadcast
 BUCKETS = 1 << 16
 #: Rows per declared language from which the text model is fitted, about; the one bounded sample here.
 TRAINING_ROWS = 3000
+#: Declared languages that get a model, and declared codes whose reliability is told apart, the most frequent ones;
+#: all other codes are one.
+LANGUAGES, CODES = 64, 1024
 #: Each byte takes part in three trigrams, so their likelihoods count a third.
 TEMPER = 1 / 3
 #: Weight of the wider level in a prior, in pages.
@@ -36,8 +39,8 @@ SMOOTHING = 10.0
 NONE = "und"
 
 _MARKUP = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
-_LANG = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""")
-_META = re.compile(r"""(?is)<meta\b[^>]*?content-language[^>]*?content\s*=\s*["']?\s*([a-z]{2,3})\b""")
+#: Where markup declares a language: the document's element, or a header in its place.
+_DECLARED = [r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""", r"""(?is)<meta\b[^>]*?content-language[^>]*?content\s*=\s*["']?\s*([a-z]{2,3})\b"""]
 #: Letters are lower-cased and bytes beyond ASCII stay; all else parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -47,10 +50,9 @@ def page_text(markup: str | None) -> str:
     return html.unescape(_MARKUP.sub(" ", markup or ""))
 
 
-def declared_language(markup: str | None) -> str | None:
-    """Language code that the markup declares, in lower case."""
-    m = _LANG.search(markup or "") or _META.search(markup or "")
-    return m.group(1).lower() if m else None
+def declared_language(markup: Column) -> Column:
+    """Language code that the markup declares, in lower case, or null."""
+    return F.lower(F.coalesce(*[F.nullif(F.regexp_extract(markup, p, 1), F.lit("")) for p in _DECLARED]))
 
 
 def trigrams(text: str) -> Iterator[np.ndarray]:
@@ -78,7 +80,7 @@ def fit_text_model(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_
     rows: ``id, text, declared``.  Fitted on about ``training_rows`` rows of each declared language,
     those with the smallest hash of their id.  What is gathered has BUCKETS rows a language at most.
     """
-    sizes = {r["declared"]: r["count"] for r in rows.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(64).collect()}
+    sizes = {r["declared"]: r["count"] for r in rows.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()}
     if not sizes:
         return [NONE], np.full((BUCKETS, 1), -np.log(BUCKETS))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, training_rows / n))])
@@ -161,13 +163,16 @@ def identify(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS,
     same = [scored[c].eqNullSafe(hosts[c]) for c in ("host", "domain", "suffix")]
     pages = scored.join(hosts, same[0] & same[1] & same[2]).select(scored["*"], "host_sum", "domain_sum", "suffix_sum")
 
-    # Two small tables: all pages, and the pages of each of the most frequent declared codes.
-    whole = scored.agg(F.array(*[F.coalesce(F.sum(F.col("alone")[i]), F.lit(0.0)) for i in range(k)]).alias("s")).first()["s"]
-    codes = scored.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"), F.array(*[F.sum(F.col("alone")[i]) for i in range(k)]).alias("s")).orderBy(F.desc("n"), "declared").limit(1024).collect()
-    whole_sum, by_code = np.array(whole), {r["declared"]: np.array(r["s"]) for r in codes}
+    # Two small tables: all pages, and the pages of each declared code.
+    totals = lambda: F.array(*[F.coalesce(F.sum(F.col("alone")[i]), F.lit(0.0)) for i in range(k)]).alias("s")
+    whole_sum = np.array(scored.agg(totals()).first()["s"])
+    declared = scored.where("declared is not null")
+    listed = {r["declared"] for r in declared.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(CODES).collect()}
+    code = F.when(F.col("declared").isin(listed), F.col("declared")).otherwise("*").alias("code") if listed else F.lit("*").alias("code")
+    by_code = {r["code"]: np.array(r["s"]) for r in declared.groupBy(code).agg(totals()).collect()}
 
     def fuse(batches):
-        # P(declared code | language), smoothed; a code that is not listed, or none, tells nothing.
+        # P(declared code | language), smoothed; no declaration tells nothing.
         reliable = {c: np.log((s + 0.5) / (whole_sum + 0.5 * (len(by_code) + 1))) for c, s in by_code.items()}
         for batch in batches:
             table = lambda c: np.array(batch.column(c).flatten()).reshape(batch.num_rows, k)
@@ -176,7 +181,7 @@ def identify(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS,
             for sum_ in (whole_sum[None, :], table("suffix_sum"), table("domain_sum"), table("host_sum")):
                 others = np.maximum(sum_ - alone, 0.0)
                 prior = (others + SMOOTHING * prior) / (others.sum(axis=1, keepdims=True) + SMOOTHING)
-            said = np.array([reliable.get(c, np.zeros(k)) for c in batch.column("declared").to_pylist()]).reshape(batch.num_rows, k)
+            said = np.array([np.zeros(k) if c is None else reliable.get(c if c in listed else "*", np.zeros(k)) for c in batch.column("declared").to_pylist()]).reshape(batch.num_rows, k)
             p = _posterior(score + np.log(prior) + said)
             best = p.argmax(axis=1)
             n = batch.column("n_trigrams").to_numpy()
@@ -197,19 +202,10 @@ def _address(host: Column) -> list[Column]:
     return [host.alias("host"), F.substring_index(host, ".", -2).alias("domain"), F.substring_index(host, ".", -1).alias("suffix")]
 
 
-def _markup_declared(rows: DataFrame) -> DataFrame:
-    def add(batches):
-        for batch in batches:
-            said = [declared_language(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*batch.schema.names, "declared"])
-
-    return rows.mapInArrow(add, "id long, text string, host string, domain string, suffix string, declared string")
-
-
 def identify_pages(pages: DataFrame, training_rows: int = TRAINING_ROWS, threshold: float = 0.5) -> DataFrame:
     """``identify`` for raw pages (``page_id, url, html``); the id column is page_id."""
-    rows = pages.select(F.col("page_id").cast("long").alias("id"), F.col("html").cast("string").alias("text"), *_address(_host(F.col("url"))))
-    return identify(_markup_declared(rows), _page_texts, training_rows, threshold).withColumnRenamed("id", "page_id")
+    rows = pages.select(F.col("page_id").cast("long").alias("id"), F.col("html").cast("string").alias("text"), *_address(_host(F.col("url"))), declared_language(F.col("html")).alias("declared"))
+    return identify(rows, _page_texts, training_rows, threshold).withColumnRenamed("id", "page_id")
 
 
 def identify_documents(docs: DataFrame, training_rows: int = TRAINING_ROWS, threshold: float = 0.5) -> DataFrame:
