@@ -138,6 +138,12 @@ def test_quantised_edges(spark):
     assert labels(R.rabitq_assign(v, np.vstack([np.zeros(70), np.ones(70)]))) == [1, 1, 1]
 
 
+def test_factor_arrays_have_four_elements(spark):
+    short = spark.createDataFrame([(0, [1.0, 2.0])], "cid int, factors array<double>")
+    with pytest.raises(Exception, match="must number 4"):
+        R.factor_columns(short).collect()
+
+
 def test_aggregates(spark, data):
     v = frame(spark, data)
     mean = np.array([r["m"] for r in A.column_mean(A.centroid_residual(v)).select("pos", F.col("mean").alias("m")).orderBy("pos").collect()])

@@ -187,6 +187,21 @@ def factors(centroids: DataFrame, dim: int, epsilon: float = EPSILON) -> DataFra
     )
 
 
+#: The order of a centroid's factors in array form.
+FACTORS = ("factor_ip", "factor_ppc", "error_bound", "center_distance_square")
+
+
+def factor_array(index: DataFrame) -> DataFrame:
+    """``cid, factors``: a centroid's four factors as an array."""
+    return index.select("cid", F.array(*FACTORS).alias("factors"))
+
+
+def factor_columns(arrays: DataFrame) -> DataFrame:
+    """The inverse of ``factor_array``; fails on arrays of another length."""
+    checked = F.when(F.size("factors") == len(FACTORS), F.col("factors")).otherwise(F.raise_error(F.lit(f"factors must number {len(FACTORS)}")).cast("array<double>"))
+    return arrays.select("cid", checked.alias("f")).select("cid", *[F.col("f")[i].alias(name) for i, name in enumerate(FACTORS)])
+
+
 def quantized(vectors: DataFrame, mean: DataFrame, dim: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``key, square, lo, delta, codes``: each vector rotated, centred and quantised."""
     rows = vectors.select(key, project(vector, dim).alias("p")).join(F.broadcast(mean)).select(key, V.residual("p", "mean").alias("r"))

@@ -403,6 +403,12 @@ def q_rabitq_factors(spark, sf_dir):
     return rows.select("cid", *[F.round(c, 6).alias(c) for c in ("center_distance_square", "factor_ip", "factor_ppc", "error_bound")])
 
 
+@_query(f"{_WITH}, {_INDEX} SELECT cid, (unnest(range(1, 5)) - 1)::INTEGER AS pos, {_r('unnest([ip, ppc, bound, cds])')} AS value FROM f")
+def q_factor_array(spark, sf_dir):
+    index = R.factors(_seeds(_vectors(spark, sf_dir)), DIM)
+    return _long(R.factor_array(R.factor_columns(R.factor_array(index))), "cid", "factors")
+
+
 @_query(f"{_WITH}, {_INDEX} SELECT cid, slot FROM f")
 def q_rabitq_slots(spark, sf_dir):
     return R.factors(_seeds(_vectors(spark, sf_dir)), DIM).select("cid", "slot")
