@@ -328,6 +328,7 @@ def test_language_edges(spark):
     kept = langid.accepted_documents(df)
     assert kept.columns == df.columns and {30, 31, 32}.isdisjoint({r["doc_id"] for r in kept.collect()}) and kept.count() >= 21
     assert langid.accepted_documents(df.limit(0)).count() == 0
+    assert langid.accepted_documents(df.withColumn("lang", F.lit(None).cast("string"))).count() == 22
     pages = spark.createDataFrame([(1, None, None), (2, "x", "<html lang=en><body>the and of</body></html>")], "page_id long, url string, html string")
     assert langid.identify_pages(pages).count() == 2
     said = ['<HTML class="x" LANG = "de-AT">', "<html><meta http-equiv=Content-Language content='fr'>", "<html>", None]

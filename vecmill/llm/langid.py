@@ -124,6 +124,8 @@ def identify(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS,
     ``id, language, posterior, accepted, declared, host, n_trigrams``, one row per row.  A row is
     rejected if no language reaches ``threshold`` or none explains its text better than random bytes.
     Null and empty texts, and texts without letters, have no language: ``und``, posterior 0, rejected.
+    If no row declares a language there is no model to reject by: all texts with letters are ``und``
+    and accepted.
     """
     languages, model = fit_text_model(rows, texts, training_rows)
     held = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32))
@@ -187,7 +189,7 @@ def identify(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS,
             n = batch.column("n_trigrams").to_numpy()
             top = np.where(n > 0, np.round(p[np.arange(len(best)), best], 6), 0.0)
             names = [languages[b] if m else NONE for b, m in zip(best, n, strict=True)]
-            ok = pa.array([x != NONE and t >= threshold for x, t in zip(names, top, strict=True)], pa.bool_())
+            ok = pa.array([bool(m) and (k == 1 or (x != NONE and t >= threshold)) for x, t, m in zip(names, top, n, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(top), ok, *[batch.column(c) for c in ("declared", "host", "n_trigrams")]], ["id", "language", "posterior", "accepted", "declared", "host", "n_trigrams"])
 
     return pages.mapInArrow(fuse, f"id {types['id']}, language string, posterior double, accepted boolean, declared string, host string, n_trigrams long")
