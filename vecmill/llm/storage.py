@@ -60,14 +60,15 @@ def sized_broadcast(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bitset(ids: DataFrame, column: str, log2_bits: int = 26, hashed: bool = False) -> "Bitset":
-    """A one-hash Bloom filter of a long column.
+def bitset(ids: DataFrame, column: str, most_log2_bits: int = 26, hashed: bool = False) -> "Bitset":
+    """A one-hash Bloom filter of a long column of a table that has been written.
 
-    It is made by a grouped ``bit_or``; what reaches the driver are at most
-    ``2 ** (log2_bits - 6)`` words of 16 bytes (16 MB for 26 bits), whatever the
-    number of ids.  A full filter lets more rows through and never drops one.
-    ``hashed``: the values are evenly distributed hashes, of which the low bits serve.
+    It has some sixteen bits for each row, but ``2 ** most_log2_bits`` at most.  It is made by a
+    grouped ``bit_or``; what reaches the driver are a word of 16 bytes for each 64 bits (16 MB for
+    ``2 ** 26`` bits), whatever the number of ids.  A full filter lets more rows through and never
+    drops one.  ``hashed``: the values are evenly distributed hashes, of which the low bits serve.
     """
+    log2_bits = min(most_log2_bits, max(16, (16 * ids.count()).bit_length()))
     words = (
         ids.where(F.col(column).isNotNull())
         .select(_slot(F.col(column), log2_bits, hashed).alias("s"))
