@@ -34,6 +34,14 @@ def test_splits_and_ragged_files(spark, tmp_path, monkeypatch):
     assert len(X.VecsReader({"path": f"{tmp_path}/even"}).partitions()) == 4
     (tmp_path / "ragged").write_bytes(X.encode([[1.0], [2.0, 3.0], []]))
     assert rows(spark.read.format("vecs").load(f"{tmp_path}/ragged")) == [[1.0], [2.0, 3.0], []]
+    monkeypatch.setattr(X, "SPLIT_BYTES", 8)
+    (tmp_path / "uneven").write_bytes(X.encode([[1.0], [2.0, 3.0, 4.0], [5.0]]))  # as long as four records of one
+    with pytest.raises(ValueError, match="split false"):
+        reader = X.VecsReader({"path": f"{tmp_path}/uneven"})
+        [r for p in reader.partitions() for r in reader.read(p)]
+    assert rows(spark.read.format("vecs").option("split", "false").load(f"{tmp_path}/uneven")) == [[1.0], [2.0, 3.0, 4.0], [5.0]]
+    with pytest.raises(Exception, match="absent"):
+        spark.read.format("vecs").load(f"{tmp_path}/absent").collect()
     (tmp_path / "empty").write_bytes(b"")
     assert rows(spark.read.format("vecs").load(f"{tmp_path}/empty")) == []
 

@@ -1,9 +1,10 @@
 """fvecs, ivecs and bvecs files as a Spark data source.
 
 A record is a 32-bit little-endian dimension and that many little-endian values:
-32-bit floats (``float``), 32-bit integers (``int``) or bytes (``byte``).  Files
-are read through Spark's own file reader, so any store that Spark reads serves;
-a file whose records have one length is cut at record borders and read in parallel.
+32-bit floats (``float``), 32-bit integers (``int``) or bytes (``byte``).  The data
+source reaches local paths and the stores that Arrow knows (``hdfs://``, ``s3://``,
+``gs://``); a file whose records have one length is cut at record borders and read
+in parallel.  ``read_vecs`` goes through Spark's own file reader instead.
 
     spark.dataSource.register(VecsDataSource)
     spark.read.format("vecs").option("elementType", "float").load(path)
@@ -58,57 +59,78 @@ class _Range(InputPartition):
     first: int
     start: int
     stop: int
+    dim: int | None = None
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
+def _store(path: str):
+    """File system and path of a local path or URI."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def _element_type(options: dict) -> str:
+    return options.get("elementtype", options.get("elementType", "float"))
 
 
 class VecsReader(DataSourceReader):
-    """Reads local files (or a mounted store) by byte ranges."""
+    """Reads files by byte ranges; with option ``split`` false, each file whole."""
 
     def __init__(self, options: dict):
-        self.path, self.kind = _local(options["path"]), options.get("elementtype", options.get("elementType", "float"))
+        self.path, self.kind = options["path"], _element_type(options)
+        self.split = options.get("split", "true").lower() != "false"
+
+    def files(self) -> list[tuple[str, int]]:
+        """Paths and sizes, by name; hidden files are left out."""
+        from pyarrow.fs import FileSelector, FileType
 
-    def files(self) -> list[str]:
-        if os.path.isdir(self.path):
-            return sorted(os.path.join(self.path, f) for f in os.listdir(self.path) if not f.startswith(("_", ".")))
-        return [self.path]
+        fs, path = _store(self.path)
+        info = fs.get_file_info(path)
+        found = fs.get_file_info(FileSelector(path)) if info.type == FileType.Directory else [info]
+        if any(f.type == FileType.NotFound for f in found):
+            raise FileNotFoundError(self.path)
+        return sorted((f.path, f.size) for f in found if f.type == FileType.File and not f.base_name.startswith(("_", ".")))
 
     def partitions(self):
+        fs, _ = _store(self.path)
         parts, before = [], 0
-        for path in self.files():
-            size = os.path.getsize(path)
+        for path, size in self.files():
             if not size:
                 continue
-            with open(path, "rb") as f:
+            with fs.open_input_file(path) as f:
                 (dim,) = struct.unpack("<I", f.read(4).ljust(4, b"\0"))
-            record = 4 + dim * _kind(self.kind).itemsize
-            if size % record == 0 and self._even(path, record, dim, size):
-                step = max(1, SPLIT_BYTES // record)
-                for at in range(0, size // record, step):
-                    parts.append(_Range(path, before + at, at * record, min(size, (at + step) * record)))
-                before += size // record
-            else:
-                parts.append(_Range(path, before, 0, size))
-                with open(path, "rb") as f:
+                record = 4 + dim * _kind(self.kind).itemsize
+                even = size % record == 0
+                if even and size <= SPLIT_BYTES:  # a small file is looked through at once
+                    f.seek(0)
+                    even = bool((np.ascontiguousarray(np.frombuffer(f.read(), np.uint8).reshape(-1, record)[:, :4]).view("<u4") == dim).all())
+                if even and self.split:
+                    step = max(1, SPLIT_BYTES // record)
+                    parts += [_Range(path, before + at, at * record, min(size, (at + step) * record), dim) for at in range(0, size // record, step)]
+                    before += size // record
+                else:
+                    parts.append(_Range(path, before, 0, size))
+                    f.seek(0)
                     before += sum(1 for _ in decode(f.read(), self.kind))
         return parts or [_Range("", 0, 0, 0)]
 
-    @staticmethod
-    def _even(path: str, record: int, dim: int, size: int) -> bool:
-        """Whether all headers say ``dim``."""
-        headers = np.memmap(path, np.uint8, "r", shape=(size // record, record))[:, :4]
-        return all(bool((np.ascontiguousarray(headers[i : i + (1 << 20)]).view("<u4") == dim).all()) for i in range(0, len(headers), 1 << 20))
-
     def read(self, partition: _Range):
         if partition.stop == partition.start:
             return
-        with open(partition.path, "rb") as f:
+        with _store(self.path)[0].open_input_file(partition.path) as f:
             f.seek(partition.start)
             data = f.read(partition.stop - partition.start)
-        for i, v in enumerate(decode(data, self.kind)):
-            yield partition.first + i, len(v), v.tolist()
+        if partition.dim is None:
+            for i, v in enumerate(decode(data, self.kind)):
+                yield partition.first + i, len(v), v.tolist()
+            return
+        dtype = _kind(self.kind)
+        records = np.frombuffer(data, np.uint8).reshape(-1, 4 + partition.dim * dtype.itemsize)
+        if not (np.ascontiguousarray(records[:, :4]).view("<u4") == partition.dim).all():
+            raise ValueError(f"{partition.path} has records of several lengths; read it with option split false")
+        values = np.ascontiguousarray(records[:, 4:]).view(dtype) if partition.dim else np.empty((len(records), 0), dtype)
+        for i, v in enumerate(values.tolist()):
+            yield partition.first + i, partition.dim, v
 
 
 @dataclass
@@ -120,35 +142,37 @@ class VecsWriter(DataSourceWriter):
     """One file per partition, in the order of the rows; readers take the files by name."""
 
     def __init__(self, options: dict, schema, overwrite: bool):
-        self.path, self.kind = _local(options["path"]), options.get("elementtype", options.get("elementType", "float"))
+        self.path, self.kind = options["path"], _element_type(options)
         self.at = schema.names.index("embedding")
-        if overwrite and os.path.isdir(self.path):
-            for f in os.listdir(self.path):
-                os.remove(os.path.join(self.path, f))
+        fs, path = _store(self.path)
+        fs.create_dir(path, recursive=True)
+        if overwrite:
+            fs.delete_dir_contents(path)
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        name = f"part-{context.partitionId():05d}.vecs"
-        # A repeated task writes another hidden file; commit gives it its name.
-        hidden = os.path.join(self.path, f".{name}.{context.taskAttemptId()}")
-        with open(hidden, "wb") as f:
+        fs, path = _store(self.path)
+        # A repeated task writes another hidden file; commit gives one of them its name.
+        hidden = f"{path}/.part-{context.partitionId():05d}.vecs.{context.taskAttemptId()}"
+        with fs.open_output_stream(hidden) as f:
             for row in iterator:
                 f.write(encode([row[self.at]], self.kind))
         return _Written(hidden)
 
     def commit(self, messages):
+        fs, _ = _store(self.path)
         for m in messages:
             if m is not None:
-                folder, name = os.path.split(m.path)
-                os.replace(m.path, os.path.join(folder, name[1:].rpartition(".")[0]))
+                folder, _, name = m.path.rpartition("/")
+                fs.move(m.path, f"{folder}/{name[1:].rpartition('.')[0]}")
 
     def abort(self, messages):
+        fs, _ = _store(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None:
+                fs.delete_file(m.path)
 
 
 class VecsDataSource(DataSource):
@@ -205,5 +229,6 @@ def write_vecs(rows: DataFrame, path: str, kind: str = "float", order: str = "ve
 
 def write_matrix(matrix: np.ndarray, path: str, kind: str = "float") -> None:
     """Write a small matrix, such as centroids, as one file."""
-    with open(_local(path), "wb") as f:
+    fs, place = _store(path)
+    with fs.open_output_stream(place) as f:
         f.write(encode(matrix, kind))
