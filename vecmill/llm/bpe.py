@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import tidy
+
 #: White space as the Unicode property has it; Python's own class also has the separators 1C to 1F.
 _SPACE = r"\t-\r \x85\xA0  -     　"
 #: The pattern by which the vocabulary's texts are divided before merging.
@@ -314,4 +316,4 @@ def bpe_roundtrip(docs: DataFrame, vocabulary: str, with_values: bool = False) -
             columns = zip(*rows, strict=True) if rows else ([] for _ in names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), fields)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import tidy
+
 Piece = tuple[str, bool]
 
 #: Texts are escaped so that they hold none of the characters with which control strings begin.
@@ -402,7 +404,7 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array(["".join(texts)], pa.string()), pa.array([spans], kind)], ["conv_id", "formatted", "loss_spans"])
 
-    return _ordered(conversations).mapInArrow(run, "conv_id long, formatted string, loss_spans array<struct<start:long, stop:long>>")
+    return _ordered(conversations).mapInArrow(tidy(run), "conv_id long, formatted string, loss_spans array<struct<start:long, stop:long>>")
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -438,7 +440,7 @@ def digest_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return _ordered(conversations).mapInArrow(run, DIGEST)
+    return _ordered(conversations).mapInArrow(tidy(run), DIGEST)
 
 
 def digest_sql(extra: str) -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import connected_components
-from .storage import batch_rows, materialize
+from .storage import batch_rows, materialize, tidy
 
 TABLES, PROJECTIONS, WIDTH, SEED = 20, 6, 1.0, 20240917
 #: Vectors of a block; a task holds two.
@@ -63,7 +63,7 @@ def _with_keys(classes: DataFrame) -> DataFrame:
                 keys = pa.array(list(bucket_keys(_matrix(part.column("vector"))).view(np.int64)), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, keys], [*part.schema.names, "keys"])
 
-    return classes.mapInArrow(add, "class_id long, n long, label_key string, dim int, vector array<double>, keys array<long>")
+    return classes.mapInArrow(tidy(add), "class_id long, n long, label_key string, dim int, vector array<double>, keys array<long>")
 
 
 def _runs(batches, names: list[str]) -> Iterator[pa.Table]:
@@ -168,7 +168,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x), to, sums], ["a", "b", "links"])
 
     with batch_rows(vectors.sparkSession, 2000):
-        found = materialize(tasks.mapInArrow(compare, "a long, b long, links long"), "found")
+        found = materialize(tasks.mapInArrow(tidy(compare), "a long, b long, links long"), "found")
     components = materialize(connected_components(found.where("b is not null")), "components")
     sums = found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
     result = classes.select("class_id", "n", "label_key", "vector").join(sums, "class_id", "left").join(components.withColumnRenamed("id", "class_id"), "class_id", "left")

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import connected_components
-from .storage import Bitset, batch_rows, bitset, materialize, sized_broadcast
+from .storage import Bitset, batch_rows, bitset, materialize, sized_broadcast, tidy
 
 #: Entries of the broadcast order table, at most (16 bytes each).
 MAX_FREQUENT = 1 << 20
@@ -95,7 +95,7 @@ def _order(docs: DataFrame, width: int, num: int, den: int) -> tuple[np.ndarray,
         yield report(block, pool, size)
 
     with batch_rows(docs.sparkSession, TEXT_ROWS):
-        counts = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1 or h is null")
+        counts = docs.select("text").mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1 or h is null")
         counts = materialize(counts, "frequent")
     total = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
     # Sums over this number less than MAX_FREQUENT shingles, as all occurrences number `total`.
@@ -147,7 +147,7 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *columns], ["doc_id", "n_shingles", "set_a", "set_b", "prefix_a", "prefix_b", "prefix", "bitmap", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(make), SETS)
 
 
 def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
@@ -173,7 +173,7 @@ def _screened(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFram
                 keep.append((num + den) * (n - unlike) >= 2 * num * n)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return materialize(both.mapInArrow(screen, "a long, b long"), "screened")
+    return materialize(both.mapInArrow(tidy(screen), "a long, b long"), "screened")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -191,7 +191,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), wanted.slot(F.col("doc_id")).alias("slot"))
-    sets = rows.mapInArrow(some, "id long, shingles binary")
+    sets = rows.mapInArrow(tidy(some), "id long, shingles binary")
     needed = ends.distinct()
     # A doc_id that stands on several rows has as many sets; its pairs are then checked for each.
     with batch_rows(docs.sparkSession, TEXT_ROWS):
@@ -208,7 +208,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with batch_rows(docs.sparkSession, SET_ROWS):
-        return materialize(both.mapInArrow(check, "a long, b long").distinct(), "verified")
+        return materialize(both.mapInArrow(tidy(check), "a long, b long").distinct(), "verified")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -259,7 +259,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
 
     index = (
         heads.select(F.col("id").alias("gid"), "n", "bitmap", F.posexplode("prefix").alias("at", "token"))
-        .mapInArrow(postings, "gid long, n long, token long, at int, bitmap array<long>")
+        .mapInArrow(tidy(postings), "gid long, n long, token long, at int, bitmap array<long>")
         .join(tokens, "token")
         .select("token", "gid", "n", "at", "centre", *[F.col("bitmap")[k].alias(f"b{k}") for k in range(BITMAP_WORDS)])
     )

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize, sized_broadcast
+from .storage import batch_rows, materialize, sized_broadcast, tidy
 
 BUCKETS = 1 << 16
 #: Rows per declared language from which the text model is fitted, about; the one bounded sample here.
@@ -31,6 +31,8 @@ TRAINING_ROWS = 3000
 #: Declared languages that get a model, and declared codes whose reliability is told apart, the most frequent ones;
 #: all other codes are one.
 LANGUAGES, CODES = 64, 1024
+#: Rows of an Arrow batch with texts.
+TEXT_ROWS = 1000
 #: Each byte takes part in three trigrams, so their likelihoods count a third.
 TEMPER = 1 / 3
 #: Weight of the wider level in a prior, in pages.
@@ -98,7 +100,9 @@ def fit_text_model(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(at)), pa.array(at), pa.array(own[at])], ["declared", "bucket", "n"])
 
-    sums = sample.select("declared", "text").mapInArrow(count, "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = sample.select("declared", "text").mapInArrow(tidy(count), "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n"))
+    with batch_rows(rows.sparkSession, TEXT_ROWS):
+        sums = sums.toArrow()
     languages = sorted(set(sums["declared"].to_pylist()))
     counts = np.zeros((BUCKETS, len(languages) + 1))
     at = np.array([languages.index(x) for x in sums["declared"].to_pylist()], dtype=np.int64)
@@ -147,8 +151,9 @@ def identify(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS,
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], pa.array(n), *lists], [*keys, "n_trigrams", "score", "alone"])
 
     types = dict(rows.dtypes)
-    scored = rows.mapInArrow(likelihoods, ", ".join(f"{c} {types[c]}" for c in keys) + ", n_trigrams long, score array<double>, alone array<double>")
-    scored = materialize(scored, "likelihoods")
+    scored = rows.mapInArrow(tidy(likelihoods), ", ".join(f"{c} {types[c]}" for c in keys) + ", n_trigrams long, score array<double>, alone array<double>")
+    with batch_rows(rows.sparkSession, TEXT_ROWS):
+        scored = materialize(scored, "likelihoods")
 
     def sums(key: str) -> DataFrame:
         each = [F.sum(F.col("alone")[i]) for i in range(k)]
@@ -192,7 +197,7 @@ def identify(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS,
             ok = pa.array([bool(m) and (k == 1 or (x != NONE and t >= threshold)) for x, t, m in zip(names, top, n, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(top), ok, *[batch.column(c) for c in ("declared", "host", "n_trigrams")]], ["id", "language", "posterior", "accepted", "declared", "host", "n_trigrams"])
 
-    return pages.mapInArrow(fuse, f"id {types['id']}, language string, posterior double, accepted boolean, declared string, host string, n_trigrams long")
+    return pages.mapInArrow(tidy(fuse), f"id {types['id']}, language string, posterior double, accepted boolean, declared string, host string, n_trigrams long")
 
 
 def _host(url: Column) -> Column:

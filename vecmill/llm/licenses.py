@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .storage import tidy
 
 BLOCK_WORDS = 200
 
@@ -129,7 +130,7 @@ def _frequencies(docs: DataFrame, templates: Templates) -> np.ndarray:
                 n += np.bincount(pairs[1], minlength=len(n))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["token", "n"])
 
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     found = np.zeros(len(templates.tokens), dtype=np.int64)
     for row in sums:
         found[row["token"]] = row["n"]
@@ -176,7 +177,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
             columns = [batch.column("doc_id"), pa.array(n_words), pa.array([[dict(zip(("kind", "label", "start", "words", "containment"), m, strict=True)) for m in own] for own in matches], kind)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "matches"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, f"doc_id long, n_words long, matches {MATCHES}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(scan), f"doc_id long, n_words long, matches {MATCHES}")
 
 
 def license_digest(scanned: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import tidy
+
 #: Open windows of a partition, and partitions whose last windows one task merges.
 OPEN, MERGED = 64, 32
 END_OF_TEXT = 1
@@ -182,9 +184,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, open_wi
             return _shown([dict(zip([*_NAMES, "ids"], r, strict=True)) for r in out])
         return _batch([r[:-1] for r in out], PIECES)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, first)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(pack), first)
     # Finished rows are spread evenly; only a window's leftovers of each partition are brought together.
-    return rows.repartition("merge_key").sortWithinPartitions("merge_key").mapInArrow(merge, PIECES + ", ids array<int>" * with_ids)
+    return rows.repartition("merge_key").sortWithinPartitions("merge_key").mapInArrow(tidy(merge), PIECES + ", ids array<int>" * with_ids)
 
 
 def _shown(rows: list[dict]) -> pa.RecordBatch:

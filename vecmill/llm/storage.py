@@ -42,6 +42,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run):
+    """A function for ``mapInArrow`` that gives freed memory back to the system when its task ends.
+
+    Python workers live on between tasks; what their allocators keep would count beside the next task's own.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
+def _release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do without
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextlib.contextmanager
 def batch_rows(spark: SparkSession, rows: int):
     """Rows of an Arrow batch while tables are written: wide rows need small batches to fit a Python worker."""
