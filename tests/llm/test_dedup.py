@@ -90,6 +90,17 @@ def test_jaccard_does_not_rest_on_its_tables(spark, limit, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_jaccard(rows, 3, 9, 10)
 
 
+def test_jaccard_links_members_that_are_no_heads(spark):
+    """1 and 2 share prefix and size but not their frequent words; 3 is a copy of 2 and unlike 1."""
+    rare, one, two = ([f"{c}{i}" for i in range(n)] for c, n in (("r", 60), ("f", 140), ("g", 140)))
+    rows = [(1, " ".join(rare + one)), (2, " ".join(rare + two)), (3, " ".join(["x", "y", "z"] + rare[3:] + two))]
+    rows += [(10 + i, " ".join((one if i % 2 else two) + [f"u{i}x{k}" for k in range(200)])) for i in range(40)]
+    expected = brute_jaccard(rows, 1, 4, 5)
+    assert expected[3][1] == 2 and expected[2][1] == 2 and expected[1][1] == 1
+    found = J.jaccard_components(spark.createDataFrame(rows, DOCS), 1, 4, 5).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == expected
+
+
 def test_jaccard_on_all_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     found = Q.op3_jaccard_join(spark, SF).collect()

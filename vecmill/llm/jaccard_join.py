@@ -17,10 +17,11 @@ documents link when ``den * |A & B| >= num * |A | B|``.
 3. A pair that links must share a shingle among the first
    ``n - ceil(t * n) + 1`` of each.  Classes with the same prefix and the same
    size form one group, and only groups are indexed.
-4. Group pairs pass a size, a positional and a bitmap filter within the join
-   condition, so pairs that fail are never emitted.  Surviving pairs are
-   expanded to members, screened by a longer bitmap and verified by the
-   intersection of the whole sets.
+4. Group pairs pass a size and a positional filter within the join condition,
+   so pairs that fail are never emitted.  A bitmap speaks for one set only: it
+   filters pairs of groups of one member, and else the pairs of members after
+   the expansion.  What is left is screened by a longer bitmap and verified by
+   the intersection of the whole sets.
 
 Pairs are taken in two rounds.  The first compares each group with one centre
 of each of its index entries, which already joins large groups of near copies
@@ -241,9 +242,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         """The filters of a group pair that shares the shingle at positions ``at``."""
         n, m, i, j = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
         most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
+        return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * most >= required(x, y))
+
+    def alike(x, y):
+        """The bitmap filter of two sets."""
         unlike = sum((F.bit_count(F.col(f"{x}.b{k}").bitwiseXOR(F.col(f"{y}.b{k}"))) for k in range(BITMAP_WORDS)), F.lit(0))
         # |A & B| = (n + m - |A ^ B|) / 2, and |A ^ B| is at least the number of unlike bins.
-        return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * most >= required(x, y)) & ((num + den) * (n + m - unlike) >= 2 * required(x, y))
+        return (num + den) * (F.col(f"{x}.n") + F.col(f"{y}.n") - unlike) >= 2 * required(x, y)
 
     heads = reps.join(groups.select(F.col("gid").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     entries = heads.select(F.col("id").alias("gid"), F.explode("prefix").alias("token"))
@@ -265,9 +270,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     )
     index = materialize(index, "index")
 
-    # Round 1: each group against the centre of its index entries, each member against the head of its group.
+    # Round 1: the head of each group against the centre of its index entries, each member against the head of its group.
     x, y = index.alias("x"), index.where("gid = centre").alias("y")
-    star = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & passes("x", "y"))
+    star = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & passes("x", "y") & alike("x", "y"))
     star = star.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
     star = materialize(star.union(shared.where("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b"))), "pairs")
     links = _verified(star, docs, reps, width, num, den)
@@ -275,19 +280,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
 
     # Round 2: group pairs that are not yet in one component, expanded to their members.
     of = lambda df, key: df.join(found.select(F.col("id").alias(key), F.col("component_id").alias("c")), key, "left").withColumn("c", F.coalesce("c", key))
-    members = materialize(of(reps.select("id", "prefix_a", "prefix_b", "n").join(groups, ["prefix_a", "prefix_b", "n"]).select("id", "gid"), "id"), "members")
-    spans = members.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    bits = [f"b{k}" for k in range(BITMAP_WORDS)]
+    members = reps.select("id", "prefix_a", "prefix_b", "n", *[F.col("bitmap")[k].alias(b) for k, b in enumerate(bits)]).join(groups, ["prefix_a", "prefix_b", "n"])
+    members = materialize(of(members.select("id", "gid", "n", *bits), "id"), "members")
+    spans = members.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members"))
     entry = index.join(spans, "gid")
     mixed = entry.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
     entry = materialize(entry.join(mixed, "token", "left_semi"), "entries")
     x, y = entry.alias("x"), entry.alias("y")
     apart = (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & passes("x", "y"))
+    # The bitmap of an entry is that of the group's head.
+    single = (F.col("x.members") == 1) & (F.col("y.members") == 1)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & passes("x", "y") & (~single | alike("x", "y")))
     pairs = pairs.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
     inside = spans.where("lo <> hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-    one, two = members.select(F.col("id").alias("a"), F.col("gid").alias("ga"), F.col("c").alias("ca")), members.select(F.col("id").alias("b"), F.col("gid").alias("gb"), F.col("c").alias("cb"))
-    pairs = pairs.union(inside).join(one, "ga").join(two, "gb").where("ca <> cb and a <> b")
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    one, two = members.alias("x"), members.alias("y")
+    pairs = pairs.union(inside).join(one, F.col("ga") == F.col("x.gid"))
+    pairs = pairs.join(two, (F.col("gb") == F.col("y.gid")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") != F.col("y.id")) & alike("x", "y"))
+    pairs = materialize(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
     more = _verified(pairs, docs, reps, width, num, den)
     links = links.unionByName(more)
 
