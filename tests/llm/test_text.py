@@ -188,6 +188,24 @@ def test_license_edges(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """A notice is found wherever its lines break, with or without comment signs, and not in scattered words."""
+    filler = " ".join(f"w{i}" for i in range(300))
+    rows, expected = [], {}
+    for t, (label, notice) in enumerate(licenses.TEMPLATES):
+        words = notice.split()
+        for width in (1, 3, len(words) // 2 + 1):
+            for sign in ("", " * ", "# "):
+                body = "\n".join(sign + " ".join(words[i : i + width]) for i in range(0, len(words), width))
+                expected[len(rows)] = label
+                rows.append((len(rows), f"{filler}\n{body}\n{filler}" if width == 3 else body))
+    scattered = "\n".join(f"{filler} {w}" for w in licenses.TEMPLATES[7][1].split())
+    rows.append((len(rows), scattered))
+    found = {r["doc_id"]: r for r in licenses.license_digest(licenses.license_scan(spark.createDataFrame(rows, DOCS))).collect()}
+    assert all(label in found[i]["labels"].split(",") and found[i]["score"] == 1.0 for i, label in expected.items())
+    assert (found[len(rows) - 1]["labels"], found[len(rows) - 1]["score"]) == ("", 0.0)
+
+
 def test_template_language():
     show = lambda source, **v: "".join(t for t, _ in chat.Template(source).render(**v))
     assert show("a{# no #}{{ 'b' + 'c' }}{{ 1 + 2 }}") == "abc3"

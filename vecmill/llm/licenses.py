@@ -51,6 +51,7 @@ class Templates:
 
     def __init__(self, templates: list[tuple[str, str]], threshold: float):
         self.labels = [label for label, _ in templates]
+        self.lengths = [len(words.split()) for _, words in templates]
         self.sets = [sorted({tx.word_hash(w) for w in words.split()}) for _, words in templates]
         self.needed = [max(1, int(np.ceil(threshold * len(s) - 1e-9))) for s in self.sets]
         self.tokens = np.array(sorted({h for s in self.sets for h in s}), dtype=np.uint64)
@@ -115,6 +116,33 @@ def _lines_with(hits: np.ndarray, offsets: np.ndarray, lines: np.ndarray):
         yield doc, first, done
 
 
+def _wrapped(templates: Templates, token: np.ndarray, hits: np.ndarray, offsets: np.ndarray, lines: np.ndarray):
+    """(text, template, first word, last word, containment) of the blocks beyond one line that match, the best of those that meet."""
+    best: dict[int, tuple[int, int, int, float]] = {}
+    for at, doc in zip(hits.tolist(), (np.searchsorted(offsets, hits, "right") - 1).tolist(), strict=True):
+        for t, _ in templates.index[int(templates.rank[token[at]])]:
+            s, e = max(int(offsets[doc]), at - templates.lengths[t] + 1), min(int(offsets[doc + 1]), at + templates.lengths[t])
+            if lines[s] == lines[e - 1]:
+                continue
+            own = token[s:e]
+            ranks = np.unique(templates.rank[own[own >= 0]])
+            if len(ranks) < templates.needed[t]:
+                continue
+            same = len(np.intersect1d(ranks, templates.ranked[t], assume_unique=True))
+            if same < templates.needed[t]:
+                continue
+            share, last = same / len(templates.ranked[t]), best.get(t)
+            if last and last[0] == doc and s < last[2]:
+                if share > last[3]:
+                    best[t] = (doc, s, e, share)
+                continue
+            if last:
+                yield last[0], t, *last[1:]
+            best[t] = (doc, s, e, share)
+    for t, last in best.items():
+        yield last[0], t, *last[1:]
+
+
 def _frequencies(docs: DataFrame, templates: Templates) -> np.ndarray:
     """Blocks of the corpus that contain each template token."""
 
@@ -172,6 +200,11 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
                         block = np.unique(known.rank[own[own >= 0]])
                         for t, share in known.matches(block):
                             matches[first + d].append(("template", known.labels[t], s - int(offsets[d]), e - s, share))
+                for d, t, s, e, share in _wrapped(known, token, hits, offsets, lines):
+                    # A line that holds as much of the notice stands for it.
+                    start, label = s - int(offsets[d]), known.labels[t]
+                    if not any(m[:2] == ("template", label) and m[4] >= share and m[2] < start + e - s and start < m[2] + m[3] for m in matches[first + d]):
+                        matches[first + d].append(("template", label, start, e - s, share))
             for own in matches:
                 own.sort(key=lambda m: (m[2], m[0], m[1], m[3], m[4]))
             columns = [batch.column("doc_id"), pa.array(n_words), pa.array([[dict(zip(("kind", "label", "start", "words", "containment"), m, strict=True)) for m in own] for own in matches], kind)]
