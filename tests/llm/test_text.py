@@ -337,6 +337,24 @@ def test_evidence_counts(spark):
     assert (found[200], found[201], found[202]) == ("fr", "en", "fr")
 
 
+def test_every_declared_language_has_a_model(spark, monkeypatch):
+    """Of 70 languages in scripts of their own the last ten are rare; texts without a declaration are theirs too."""
+    rng = random.Random(0)
+
+    def text(i):
+        return " ".join("".join(chr(0x4E00 + 40 * i + rng.randrange(40)) for _ in range(3)) for _ in range(60))
+
+    rows = [(100 * i + k, text(i), None, f"l{i:02}" if k else None) for i in range(70) for k in range(6 if i < 60 else 4)]
+    df = spark.createDataFrame(rows, f"{DOCS}, source string, lang string")
+    found = {r["doc_id"]: r for r in langid.identify_documents(df).collect()}
+    assert all(found[i]["language"] == f"l{i // 100:02}" and found[i]["accepted"] for i, *_ in rows)
+    few = df.where("doc_id < 600")
+    table = {r["doc_id"]: r for r in langid.identify_documents(few).collect()}
+    monkeypatch.setattr(langid, "DENSE", 0)
+    seen = {r["doc_id"]: r for r in langid.identify_documents(few).collect()}
+    assert all(seen[i]["language"] == r["language"] and abs(seen[i]["posterior"] - r["posterior"]) < 1e-4 for i, r in table.items())
+
+
 def test_language_edges(spark):
     rows = [(i, "the and of with this that there " * 3, "s", "en") for i in range(20)] + [(30, None, None, None), (31, "", "s", "en"), (32, "123 !!", "s", "en"), (None, "the and of", "s", "en"), (33, "the and of", "s", "zz")]
     df = spark.createDataFrame(rows, f"{DOCS}, source string, lang string")

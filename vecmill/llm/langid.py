@@ -28,9 +28,10 @@ from .storage import batch_rows, materialize, sized_broadcast, tidy
 BUCKETS = 1 << 16
 #: Rows per declared language from which the text model is fitted, about; the one bounded sample here.
 TRAINING_ROWS = 3000
-#: Declared languages that get a model, and declared codes whose reliability is told apart, the most frequent ones;
-#: all other codes are one.
-LANGUAGES, CODES = 64, 1024
+#: Languages up to which the text model is a table of all buckets; with more it holds the trigrams that were seen only.
+DENSE = 64
+#: Declared codes whose reliability is told apart, the most frequent ones; all other codes are one.
+CODES = 1024
 #: Rows of an Arrow batch with texts.
 TEXT_ROWS = 1000
 #: Each byte takes part in three trigrams, so their likelihoods count a third.
@@ -76,15 +77,45 @@ def _plain_texts(batch: pa.RecordBatch) -> list[str]:
     return [x or "" for x in batch.column("text").to_pylist()]
 
 
-def fit_text_model(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
+class Table:
+    """Log probabilities of the buckets (rows) for each language."""
+
+    def __init__(self, model: np.ndarray):
+        self.model = model.astype(np.float32)
+
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        return self.model[grams].sum(axis=0, dtype=np.float64)
+
+
+class Seen:
+    """The same for any number of languages: entries of what was seen in each, by bucket; all else follows from the bucket's share."""
+
+    def __init__(self, bucket: np.ndarray, language: np.ndarray, n: np.ndarray, shared: np.ndarray, k: int):
+        at = np.argsort(bucket, kind="stable")
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))])
+        self.language = language[at].astype(np.int32)
+        self.gain = np.log1p(n[at] / (200.0 * shared[bucket[at]])).astype(np.float32)
+        self.base = np.log(200.0 * shared)
+        self.size = np.log(np.bincount(language, weights=n, minlength=k) + 200.0)
+
+    def score(self, grams: np.ndarray) -> np.ndarray:
+        times = np.bincount(grams, minlength=BUCKETS)
+        own = np.flatnonzero(times)
+        first, size = self.start[own], self.start[own + 1] - self.start[own]
+        at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        found = np.bincount(self.language[at], weights=self.gain[at] * np.repeat(times[own], size), minlength=len(self.size))
+        return np.append(found + self.base[own] @ times[own] - len(grams) * self.size, -len(grams) * np.log(BUCKETS))
+
+
+def fit_text_model(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS) -> tuple[list[str], Table | Seen]:
     """Languages, and log probabilities of the trigram buckets for each (and for none, at the end).
 
     rows: ``id, text, declared``.  Fitted on about ``training_rows`` rows of each declared language,
     those with the smallest hash of their id.  What is gathered has BUCKETS rows a language at most.
     """
-    sizes = {r["declared"]: r["count"] for r in rows.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()}
+    sizes = {r["declared"]: r["count"] for r in rows.where("declared is not null").groupBy("declared").count().collect()}
     if not sizes:
-        return [NONE], np.full((BUCKETS, 1), -np.log(BUCKETS))
+        return [NONE], Table(np.full((BUCKETS, 1), -np.log(BUCKETS)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, training_rows / n))])
     draw = F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 20)) / float(1 << 20)
     sample = rows.where("declared is not null").where(F.coalesce(draw < F.try_element_at(share, F.col("declared")), F.lit(False)))
@@ -103,17 +134,25 @@ def fit_text_model(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_
     sums = sample.select("declared", "text").mapInArrow(tidy(count), "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n"))
     with batch_rows(rows.sparkSession, TEXT_ROWS):
         sums = sums.toArrow()
-    languages = sorted(set(sums["declared"].to_pylist()))
-    counts = np.zeros((BUCKETS, len(languages) + 1))
-    at = np.array([languages.index(x) for x in sums["declared"].to_pylist()], dtype=np.int64)
-    counts[sums["bucket"].to_numpy(), at] = sums["n"].to_numpy()
+    declared = sums["declared"].combine_chunks().dictionary_encode()
+    if isinstance(declared, pa.ChunkedArray):
+        declared = declared.combine_chunks()
+    names = declared.dictionary.to_pylist()
+    languages = sorted(names)
+    place = {x: i for i, x in enumerate(languages)}
+    at = np.array([place[x] for x in names], dtype=np.int64)[declared.indices.to_numpy()]
+    bucket, n = sums["bucket"].to_numpy(), sums["n"].to_numpy()
     # Smoothed towards the trigrams of all languages, and those towards all buckets alike.
-    shared = counts.sum(axis=1) + 1.0
+    shared = np.bincount(bucket, weights=n, minlength=BUCKETS) + 1.0
     shared /= shared.sum()
+    if len(languages) > DENSE:
+        return [*languages, NONE], Seen(bucket, at, n, shared, len(languages))
+    counts = np.zeros((BUCKETS, len(languages) + 1))
+    counts[bucket, at] = n
     counts += 200.0 * shared[:, None]
     model = np.log(counts / counts.sum(axis=0))
     model[:, -1] = -np.log(BUCKETS)
-    return [*languages, NONE], model
+    return [*languages, NONE], Table(model)
 
 
 def _posterior(scores: np.ndarray) -> np.ndarray:
@@ -132,7 +171,7 @@ def identify(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS,
     and accepted.
     """
     languages, model = fit_text_model(rows, texts, training_rows)
-    held = rows.sparkSession.sparkContext.broadcast(model.astype(np.float32))
+    held = rows.sparkSession.sparkContext.broadcast(model)
     k = len(languages)
     keys = ["id", "host", "domain", "suffix", "declared"]
 
@@ -142,7 +181,7 @@ def identify(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS,
             sums, n = np.zeros((batch.num_rows, k)), np.zeros(batch.num_rows, np.int64)
             for i, text in enumerate(texts(batch)):
                 for grams in trigrams(text):
-                    sums[i] += model[grams].sum(axis=0, dtype=np.float64)
+                    sums[i] += model.score(grams)
                     n[i] += len(grams)
             sums *= TEMPER
             alone = _posterior(sums)
