@@ -181,8 +181,12 @@ class Encoder:
             more = self.run.match(text)
             end = more.end() if more else 0
             over = last or end < len(text)
+            if self.run is _BLANKS and end and not (last and end == len(text)):
+                # The last blank before other text is not of the run's piece.
+                end -= 1
             out += self._stable(text[:end].encode(), over)
             if not over:
+                self.held = text[end:]
                 return out
             self.run, text = None, text[end:]
         pieces = self.find(text)
@@ -192,13 +196,17 @@ class Encoder:
             if len(tail[-1]) > self.window and (run := self._kind(tail[-1])):
                 out += self._encode(pieces[:-1])
                 self.run = run
-                return out + self._stable(tail[-1].encode(), False)
+                end = len(tail[-1]) - (run is _BLANKS)
+                self.held = tail[-1][end:]
+                return out + self._stable(tail[-1][:end].encode(), False)
             pieces = pieces[:-2]
             self.held = "".join(tail)
         return out + self._encode(pieces)
 
     def _kind(self, piece: str):
-        """The run of which a long piece consists; a run of blanks has none, as its last blank may go to the next piece."""
+        """The run of which a long piece consists."""
+        if _BLANKS.match(piece[1:2]):
+            return _BLANKS
         body = piece[1:] if piece[0] == " " else piece
         return next((r for r in _RUNS if body and r.match(body[:1])), None)
 
@@ -286,9 +294,11 @@ def _loaded(path: str) -> tuple[Vocabulary, PieceCache, dict[int, str]]:
 def bpe_roundtrip(docs: DataFrame, vocabulary: str, with_values: bool = False) -> DataFrame:
     """Encode each text and decode its tokens again: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
-    docs: ``doc_id`` and ``text`` (other columns are not read); one row per row.  ``with_values`` adds
-    ``ids`` (array of int) and ``decoded``.  ``ids_sha256`` is of the decimal ids joined by commas.
-    Null and empty texts have no tokens; the digests are then those of the empty string.
+    docs: ``doc_id`` and ``text`` (other columns, whatever their names, are not read); one row per row,
+    repeated ones too, and none for an empty table.  ``with_values`` adds ``ids`` (array of int) and
+    ``decoded``.  ``ids_sha256`` is of the decimal ids joined by commas.  Null and empty texts have no
+    tokens; the digests are then those of the empty string.  A null doc_id stays null.  Very long
+    texts are encoded chunk by chunk, runs of letters or blanks window by window.
     """
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_values
     names = [c.split()[0] for c in fields.split(", ")]

@@ -26,23 +26,28 @@ from .storage import tidy
 #: Open windows of a partition, and partitions whose last windows one task merges.
 OPEN, MERGED = 64, 32
 END_OF_TEXT = 1
+#: Blanks in a row from which a text goes to the streaming encoder.
+BLANKS = 100_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split()[0] for c in PIECES.split(", ")]
 
 
-def token_encoder(vocabulary: str, special: str = "<|endoftext|>") -> Callable[[str], np.ndarray]:
+def token_encoder(vocabulary: str) -> Callable[[str], np.ndarray]:
     """Ids of a text as the ``tokenizers`` library gives them for a byte-level BPE file.
 
     ``vocabulary`` is the tokenizer's JSON file.  The ids come from ``tiktoken`` over the same
-    vocabulary and pattern, which tests hold equal; it needs a quarter of the time.
+    vocabulary and pattern, which tests hold equal; it needs a quarter of the time.  Its pattern
+    needs a stack as long as a run of blanks, so texts with very long runs are encoded by the
+    streaming encoder, which gives the same ids.
     """
     import json
 
+    import regex
     import tiktoken
     from public_tokenizers import PATTERN
 
-    from .bpe import byte_of_char
+    from .bpe import _SPACE, _loaded, byte_of_char, encode_stream
 
     with open(vocabulary, encoding="utf-8") as f:
         spec = json.load(f)
@@ -50,7 +55,15 @@ def token_encoder(vocabulary: str, special: str = "<|endoftext|>") -> Callable[[
     to_byte = byte_of_char()
     ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+    blanks = regex.compile(rf"[{_SPACE}]{{{BLANKS}}}")
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= BLANKS and blanks.search(text):
+            loaded, cache, _ = _loaded(vocabulary)
+            return np.fromiter((i for some in encode_stream(loaded, text, cache) for i in some), dtype=np.uint32)
+        return encoding.encode_to_numpy(text, allowed_special="all")
+
+    return encode
 
 
 class OnlinePacker:
@@ -126,9 +139,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, open_wi
     ids_crc32, doc_tokens, sequence_id, offset`` and, with ``with_ids``, ``ids`` (array of int).
 
     A document is its token ids and the end-of-text id 1, so null and empty texts give one piece
-    of one token.  Documents longer than a window are cut into whole windows and a rest; leftovers
-    may be cut again where they are merged.  A null doc_id stays null; repeated rows are packed
-    each.  An empty table gives no rows.  Windows with fewer than ``window`` tokens are to be padded.
+    of one token.  Documents longer than a window, very long ones too, are cut into whole windows and
+    a rest; leftovers may be cut again where they are merged.  A null doc_id stays null; repeated rows
+    are packed each.  Of windows with equal room the one opened first is taken.  An empty table gives
+    no rows.  Windows with fewer than ``window`` tokens are to be padded.
     """
     fields = PIECES + ", ids binary"
     first = fields + ", merge_key long"
