@@ -30,8 +30,6 @@ BUCKETS = 1 << 16
 TRAINING_ROWS = 3000
 #: Languages up to which the text model is a table of all buckets; with more it holds the trigrams that were seen only.
 DENSE = 64
-#: Declared codes whose reliability is told apart, the most frequent ones; all other codes are one.
-CODES = 1024
 #: Rows of an Arrow batch with texts.
 TEXT_ROWS = 1000
 #: Each byte takes part in three trigrams, so their likelihoods count a third.
@@ -41,16 +39,37 @@ SMOOTHING = 10.0
 #: The class of texts that no language explains better than random bytes do.
 NONE = "und"
 
-_MARKUP = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>")
-#: Where markup declares a language: the document's element, or a header in its place.
-_DECLARED = [r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?\s*([a-z]{2,3})\b""", r"""(?is)<meta\b[^>]*?content-language[^>]*?content\s*=\s*["']?\s*([a-z]{2,3})\b"""]
+#: How markup begins, and where comments, scripts and styles end; what never ends is a tag up to the next ``>``, or text.
+_OPEN = re.compile(r"(?ai)<(?:(!--)|(script|style)\b)?")
+_CLOSE = {"!--": re.compile("-->"), "script": re.compile(r"(?ai)</script\s*>"), "style": re.compile(r"(?ai)</style\s*>")}
+#: Character references too long to name a character.
+_ENDLESS = re.compile(r"&#(?:[0-9]{10,}|[xX][0-9a-fA-F]{10,});?")
+#: Where markup declares a language: the document's element, or a header in its place.  A tag ends at the next angle bracket, and nothing is read twice.
+_VALUE = r"""\s*+=\s*+["']?+\s*+([a-z]{2,3})\b"""
+_DECLARED = [rf"(?is)<html\b[^<>]*?\blang{_VALUE}", rf"(?is)<meta\b(?>[^<>]*?content-language)[^<>]*?content{_VALUE}"]
 #: Letters are lower-cased and bytes beyond ASCII stay; all else parts words.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def page_text(markup: str | None) -> str:
-    """Visible text of a page."""
-    return html.unescape(_MARKUP.sub(" ", markup or ""))
+    """Visible text of a page; one scan, whatever is left open."""
+    markup = markup or ""
+    out, at, endless = [], 0, set()
+    while ">" not in endless and (begin := _OPEN.search(markup, at)):
+        kind, end = begin[1] or (begin[2] or "").lower(), -1
+        if kind and kind not in endless:
+            if close := _CLOSE[kind].search(markup, begin.end()):
+                end = close.end()
+            else:
+                endless.add(kind)
+        if end < 0:
+            end = markup.find(">", begin.start()) + 1
+            if not end:
+                endless.add(">")
+                break
+        out += [markup[at : begin.start()], " "]
+        at = end
+    return html.unescape(_ENDLESS.sub("\ufffd", "".join([*out, markup[at:]])))
 
 
 def declared_language(markup: Column) -> Column:
@@ -129,7 +148,7 @@ def fit_text_model(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_
                     own += np.bincount(grams, minlength=BUCKETS)
         for language, own in found.items():
             at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([language] * len(at)), pa.array(at), pa.array(own[at])], ["declared", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([language] * len(at), pa.string()), pa.array(at), pa.array(own[at])], ["declared", "bucket", "n"])
 
     sums = sample.select("declared", "text").mapInArrow(tidy(count), "declared string, bucket long, n long").groupBy("declared", "bucket").agg(F.sum("n").alias("n"))
     with batch_rows(rows.sparkSession, TEXT_ROWS):
@@ -168,7 +187,9 @@ def identify(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS,
     rejected if no language reaches ``threshold`` or none explains its text better than random bytes.
     Null and empty texts, and texts without letters, have no language: ``und``, posterior 0, rejected.
     If no row declares a language there is no model to reject by: all texts with letters are ``und``
-    and accepted.
+    and accepted.  Very long texts are scored whole, in slices of a megabyte, and markup that is never
+    closed costs one scan.  Repeated rows count each.  Of languages with equal posterior the first by
+    its code is taken.  An empty table gives no rows; other columns, whatever their names, are not read.
     """
     languages, model = fit_text_model(rows, texts, training_rows)
     held = rows.sparkSession.sparkContext.broadcast(model)
@@ -209,17 +230,15 @@ def identify(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS,
     same = [scored[c].eqNullSafe(hosts[c]) for c in ("host", "domain", "suffix")]
     pages = scored.join(hosts, same[0] & same[1] & same[2]).select(scored["*"], "host_sum", "domain_sum", "suffix_sum")
 
-    # Two small tables: all pages, and the pages of each declared code.
-    totals = lambda: F.array(*[F.coalesce(F.sum(F.col("alone")[i]), F.lit(0.0)) for i in range(k)]).alias("s")
-    whole_sum = np.array(scored.agg(totals()).first()["s"])
-    declared = scored.where("declared is not null")
-    listed = {r["declared"] for r in declared.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(CODES).collect()}
-    code = F.when(F.col("declared").isin(listed), F.col("declared")).otherwise("*").alias("code") if listed else F.lit("*").alias("code")
-    by_code = {r["code"]: np.array(r["s"]) for r in declared.groupBy(code).agg(totals()).collect()}
+    # All pages, and the pages of each declared code.
+    totals = lambda: F.array(*[F.coalesce(F.sum(F.col("alone")[i]), F.lit(0.0)) for i in range(k)])
+    whole_sum = np.array(scored.agg(totals().alias("s")).first()["s"])
+    codes = materialize(scored.where("declared is not null").groupBy(F.col("declared").alias("_code")).agg(totals().alias("code_sum")), "codes")
+    n_codes = codes.count()
+    pages = pages.join(sized_broadcast(codes, 1 << 16), pages["declared"] == F.col("_code"), "left").drop("_code")
 
     def fuse(batches):
-        # P(declared code | language), smoothed; no declaration tells nothing.
-        reliable = {c: np.log((s + 0.5) / (whole_sum + 0.5 * (len(by_code) + 1))) for c, s in by_code.items()}
+        usual = whole_sum + 0.5 * (n_codes + 1)
         for batch in batches:
             table = lambda c: np.array(batch.column(c).flatten()).reshape(batch.num_rows, k)
             alone, score = table("alone"), table("score")
@@ -227,7 +246,10 @@ def identify(rows: DataFrame, texts: Texts, training_rows: int = TRAINING_ROWS,
             for sum_ in (whole_sum[None, :], table("suffix_sum"), table("domain_sum"), table("host_sum")):
                 others = np.maximum(sum_ - alone, 0.0)
                 prior = (others + SMOOTHING * prior) / (others.sum(axis=1, keepdims=True) + SMOOTHING)
-            said = np.array([np.zeros(k) if c is None else reliable.get(c if c in listed else "*", np.zeros(k)) for c in batch.column("declared").to_pylist()]).reshape(batch.num_rows, k)
+            # P(declared code | language), smoothed; no declaration tells nothing.
+            given = np.asarray(batch.column("declared").is_valid())
+            said = np.zeros((batch.num_rows, k))
+            said[given] = np.log((np.array(batch.column("code_sum").filter(pa.array(given)).flatten()).reshape(-1, k) + 0.5) / usual)
             p = _posterior(score + np.log(prior) + said)
             best = p.argmax(axis=1)
             n = batch.column("n_trigrams").to_numpy()
@@ -263,8 +285,12 @@ def identify_documents(docs: DataFrame, training_rows: int = TRAINING_ROWS, thre
 def accepted_documents(docs: DataFrame, training_rows: int = TRAINING_ROWS, threshold: float = 0.5) -> DataFrame:
     """The documents whose language is identified, unchanged.
 
-    A doc_id on several rows goes only if all its rows are rejected; rows without a doc_id stay.
+    Each row is judged by itself, with or without a doc_id; rows that agree in doc_id, text, lang and
+    source have one verdict.  Other columns pass through; an empty table gives none.
     """
-    found = identify_documents(docs, training_rows, threshold)
-    gone = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("accepted").alias("ok")).where("not ok").select("doc_id")
-    return docs.join(sized_broadcast(gone), "doc_id", "left_anti")
+    own = [F.col("doc_id").cast("long"), *[F.col(c).cast("string") for c in ("text", "lang", "source")]]
+    key = F.xxhash64(*own, *[c.isNull() for c in own])
+    found = identify_documents(docs.select(key.alias("doc_id"), "text", "lang", "source"), training_rows, threshold)
+    gone = sized_broadcast(found.where("not accepted").select(F.col("doc_id").alias("_key")).distinct())
+    whole = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    return whole.join(gone, F.col("key") == F.col("_key"), "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
