@@ -74,19 +74,12 @@ def word_hash(word: str | bytes) -> int:
 
 
 def slices(texts: Iterable[bytes | None], words: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of the first text, word hashes, offsets of each text's words) for runs of texts."""
-    for first, hashes, offsets, _ in lined_slices(texts, words):
-        yield first, hashes, offsets
-
-
-def lined_slices(texts: Iterable[bytes | None], words: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """As ``slices``, with the number of line breaks before each word of the run.
+    """(index of the first text, word hashes, offsets of each text's words) for runs of texts.
 
     A text longer than a slice comes alone; it is hashed piecewise, cut where a word ends.
     """
     run: list[bytes] = []
     first = size = 0
-    i = -1
     for i, text in enumerate(texts):
         text = text or b""
         if len(text) > SLICE_BYTES:
@@ -104,32 +97,23 @@ def lined_slices(texts: Iterable[bytes | None], words: bytes) -> Iterator[tuple[
         yield first, *_hash_run(run, words)
 
 
-def _lines(raw: bytes, starts: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.flatnonzero(np.frombuffer(raw, np.uint8) == 10), starts)
-
-
-def _hash_run(run: list[bytes], words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = b" ".join(run).translate(LOWER)
-    starts, hashes = hash_words(raw, words)
+def _hash_run(run: list[bytes], words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    starts, hashes = hash_words(b" ".join(run).translate(LOWER), words)
     begins = np.zeros(len(run) + 1, dtype=np.int64)
     np.cumsum([len(t) + 1 for t in run], out=begins[1:])
-    return hashes, np.searchsorted(starts, begins), _lines(raw, starts)
+    return hashes, np.searchsorted(starts, begins)
 
 
-def _hash_long(text: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts, lines, at, before = [], [], 0, 0
+def _hash_long(text: bytes, words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    parts, at = [], 0
     while at < len(text):
         end = min(len(text), at + SLICE_BYTES)
         while end < len(text) and words[LOWER[text[end]]]:
             end += 1
-        raw = text[at:end].translate(LOWER)
-        starts, hashes = hash_words(raw, words)
-        parts.append(hashes)
-        lines.append(_lines(raw, starts) + before)
-        before += raw.count(b"\n")
+        parts.append(hash_words(text[at:end].translate(LOWER), words)[1])
         at = end
     hashes = np.concatenate(parts)
-    return hashes, np.array([0, len(hashes)]), np.concatenate(lines)
+    return hashes, np.array([0, len(hashes)])
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
