@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discarding, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -22,6 +22,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     vertex that has a link to another; component_id is the smallest id reachable.  Loops, nulls,
     repeated and reversed links are allowed; an empty table gives an empty table.
     """
+    with discarding() as keep:
+        return keep(materialize(_components(links), "components"))
+
+
+def _components(links: DataFrame) -> DataFrame:
     edges = _distinct(links.select("a", "b").where("a is not null and b is not null and a <> b"))
     edges = materialize(edges, "links")
     mapping = None

@@ -2,44 +2,59 @@
 
 Lineage is cut by writing a table into the folder that the cluster names in
 ``spark.checkpoint.dir``: it is shared by driver and executors, so a lost
-executor costs a re-read and not a recomputation.  Only where that setting is
-absent (tests, notebooks) a folder of this process is used.
+executor costs a re-read and not a recomputation.  Only with a local master, and
+where that setting is absent (tests, notebooks), a folder of this process is used.
 """
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: list[str] = []
+from ..plans.session import delete_at_end, delete_now, shared_folder
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, without a trailing slash."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="vecmill-"))
-            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-        folder = "file://" + _LOCAL[0]
-    return folder.rstrip("/")
+#: The tables that open ``discarding`` blocks have written, innermost last.
+_WRITTEN: list[dict[str, SparkSession]] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and return a scan of it."""
+    """Write ``df`` once into the shared folder and return a scan of it.
+
+    The table is deleted with the block of ``discarding`` that wrote it, else when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/vecmill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/vecmill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    # The table is deleted when the application ends.
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    delete_at_end(spark, path)
+    if _WRITTEN:
+        _WRITTEN[-1][path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table._vecmill_path = path
+    return table
+
+
+@contextlib.contextmanager
+def discarding() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that are written within the block at its end, but for those given to the function it yields."""
+    own: dict[str, SparkSession] = {}
+    _WRITTEN.append(own)
+
+    def keep(table: DataFrame) -> DataFrame:
+        spark = own.pop(table._vecmill_path, None)
+        if spark is not None and len(_WRITTEN) > 1:
+            _WRITTEN[-2][table._vecmill_path] = spark
+        return table
+
+    try:
+        yield keep
+    finally:
+        _WRITTEN.pop()
+        for path, spark in own.items():
+            delete_now(spark, path)
 
 
 def tidy(run):
