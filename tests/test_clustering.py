@@ -159,13 +159,70 @@ def test_samples(spark, data):
     assert a != [r["vec_id"] for r in S.sample_rows(v, 100, seed=2).collect()]
     with pytest.raises(ValueError):
         S.sample_rows(v, 1001)
-    assert 350 < S.large_sample(v, 500, 1000).count() < 650
     assert S.training_rows(v, 2, 1000, most=100).count() == 200
     assert S.auto_k(1000) == 25 and S.auto_k(10**6) == 4000
     with pytest.raises(ValueError):
         S.auto_k(38)
 
 
+def test_large_samples_are_exact(spark, monkeypatch):
+    many = spark.range(1_500_000).select(F.col("id").alias("vec_id"))
+    assert S.training_rows(many, 4400, 1_500_000, most=250).agg(F.count("*"), F.count_distinct("vec_id")).first()[:] == (1_100_000, 1_100_000)
+    some = spark.range(1000).select(F.col("id").alias("vec_id"))
+    small = {r[0] for r in S.sample_rows(some, 300, seed=3).collect()}
+    monkeypatch.setattr(S, "SORTED", 2)
+    assert {r[0] for r in S.sample_rows(some, 300, seed=3).collect()} == small
+    # Rows of one key have one hash, so the last ones are cut among them.
+    tied = some.withColumn("vec_id", F.col("vec_id") % 3)
+    assert S.sample_rows(tied, 500).count() == 500
+
+
+def test_centroids_beyond_one_broadcast(spark, data, monkeypatch):
+    v = frame(spark, data)
+    seeds = data[:10].astype(np.float64)
+    whole = M.KMeans(10, 4, init=seeds).fit(v)
+    close = M.KMeans(10, 4, init=seeds, approximate_from=0).fit(v)
+    near = labels(R.rabitq_assign(v, whole.centroids))
+    monkeypatch.setattr(M, "GATHERED_BYTES", 0)
+    monkeypatch.setattr(M.K, "centroid_blocks", lambda c, limit=0: [(at, c[at : at + 3]) for at in range(0, len(c), 3)])
+    assert np.allclose(M.KMeans(10, 4, init=seeds).fit(v).centroids, whole.centroids)
+    assert np.abs(M.KMeans(10, 4, init=seeds, approximate_from=0).fit(v).centroids - close.centroids).max() < 0.2
+    assert np.mean(np.array(labels(R.rabitq_assign(v, whole.centroids))) == near) > 0.98
+
+
+def test_frozen_centroids_stay(spark, data):
+    v = frame(spark, data)
+    before = M.KMeans(6, 5).fit(v).centroids
+    for metric, residual in (("l2", False), ("l2", True), ("ip", False)):
+        model = M.KMeans(9, 5, metric=metric, use_residual=residual, frozen_centroids=before, update_index=True, approximate_from=0).fit(v)
+        held = model.centroids[:6] + (model.mean if residual else 0)
+        assert np.allclose(held, before) and model.centroids.shape == (9, 32)
+    far = np.full((1, 32), 1e6)
+    assert np.array_equal(M.KMeans(5, 3, frozen_centroids=far).fit(v).centroids[:1], far)
+    for bad in (np.zeros((3, 31)), np.zeros((11, 32))):
+        with pytest.raises(ValueError):
+            M.KMeans(10, 3, frozen_centroids=bad).fit(v)
+
+
+def test_hierarchical_clusters_lie_within_their_own(spark, data, monkeypatch):
+    v = frame(spark, data)
+    found = M.hierarchical(v, 3, 4, max_iter=5, min_points=1, init="first")
+    top = M.KMeans(3, 5, min_points=1, init="first").fit(v)
+    own = np.array(labels(top.transform(v)))
+    parts = []
+    for p in range(3):
+        x = data[own == p].astype(np.float64)
+        c = x[:4].copy()
+        for _ in range(5):
+            near = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+            c = np.stack([x[near == i].mean(0) for i in range(4)])
+        parts.append(c)
+    assert np.allclose(found, np.concatenate(parts))
+    monkeypatch.setattr(M.K, "BROADCAST_BYTES", 4 * 32 * 8)  # one upper cluster at a time
+    capped = M.hierarchical(v, 3, 4, max_iter=5, min_points=1, max_points=20)
+    assert capped.shape == (12, 32) and np.isfinite(capped).all()
+
+
 def test_variants(spark, data):
     v = frame(spark, data)
     assert M.mini_batch(v, 5, 4).iterations == 4

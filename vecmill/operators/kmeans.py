@@ -1,8 +1,9 @@
 """K-means on DataFrames of vectors.
 
 The training rows are capped at 256 per cluster, written once, and read by one
-job per iteration: centroids are broadcast, every task sums its vectors by
-cluster, and one row per task and cluster is shuffled.
+job per iteration: centroids are broadcast, in blocks if they are large, every
+task sums its vectors by cluster, and one row per task and cluster is shuffled,
+its sum as one binary value, so the plan does not depend on the dimensions.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import aggregate as A
@@ -25,6 +26,9 @@ from .rabitq import rabitq_assign
 
 log = logging.getLogger("vecmill")
 
+#: Bytes of sums that a task gathers; with larger sums it hands on those of each batch.
+GATHERED_BYTES = 64 << 20
+
 
 def normalized(centroids: np.ndarray) -> np.ndarray:
     """Rows of norm one; zero rows stay zero."""
@@ -68,7 +72,9 @@ class KMeans:
     ``split_empty``.  ``approximate_from``: rows times dimensions from which the quantised index
     assigns while training (squared distance only); None: never.  ``redo``: trainings from other
     seeds, of which the one with the least cost stays.  ``int_centroids``: centroids are rounded to
-    whole numbers after each iteration.
+    whole numbers after each iteration.  ``frozen_centroids``: the first clusters' centroids, which
+    stay as they are (new rows can so be clustered beside a trained model's centroids); the others
+    are trained.  ``update_index``: the quantised index gets another rotation for each iteration.
     """
 
     n_cluster: int | None = None
@@ -84,6 +90,8 @@ class KMeans:
     approximate_from: int | None = 1 << 28
     redo: int = 1
     int_centroids: bool = False
+    frozen_centroids: np.ndarray | None = None
+    update_index: bool = False
 
     def __post_init__(self):
         if self.n_cluster is not None and self.n_cluster < 1:
@@ -94,6 +102,8 @@ class KMeans:
             raise ValueError("tolerance must be above 0")
         if self.redo < 1:
             raise ValueError("redo must be at least 1")
+        if self.frozen_centroids is not None and self.n_cluster is not None and len(self.frozen_centroids) > self.n_cluster:
+            raise ValueError("there are more frozen centroids than clusters")
         K.check_metric(self.metric)
 
     def fit(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> KMeansModel:
@@ -109,14 +119,16 @@ class KMeans:
             raise ValueError(f"{n} vectors are fewer than {k} clusters")
         if n < k * self.min_points:
             raise ValueError(f"{n} vectors are too few for {k} clusters of {self.min_points}")
-        if k * dim * 8 > K.BROADCAST_BYTES:
-            raise ValueError("the centroids exceed the broadcast limit")
+        frozen = np.empty((0, dim)) if self.frozen_centroids is None else np.asarray(self.frozen_centroids, dtype=np.float64)
+        if frozen.ndim != 2 or frozen.shape[1] != dim or len(frozen) > k:
+            raise ValueError(f"frozen centroids must have {dim} dimensions and number {k} at most")
 
         mean = None
         if self.use_residual and self.metric == K.L2:
             mean = np.array(A.mean_vector(rows, "x").first()["mean"])
             held = F.array(*[F.lit(float(v)) for v in mean])
             rows = rows.withColumn("x", F.zip_with("x", held, lambda a, b: a - b))
+            frozen = frozen - mean
         parts = rows.sparkSession.sparkContext.defaultParallelism
         train = S.training_rows(rows, k, n, "vec_id", self.seed, self.max_points)
         # Two copies, so a lost executor does not cost the iterations a recomputation.
@@ -127,7 +139,8 @@ class KMeans:
                 centroids = self._seeds(train, k, dim, self.seed + again)
                 if self.metric == K.IP:
                     centroids = normalized(centroids)
-                models.append(self._lloyd(train, centroids, mean, n * dim))
+                centroids[: len(frozen)] = frozen
+                models.append(self._lloyd(train, centroids, mean, n * dim, len(frozen)))
             return min(models, key=lambda m: m.history[-1])
         finally:
             train.unpersist()
@@ -143,17 +156,20 @@ class KMeans:
         order = S.sample_order("vec_id", seed) if self.init == "sample" else F.col("vec_id")
         return np.array([r["x"] for r in chosen.orderBy(order, "vec_id").collect()], dtype=np.float64)
 
-    def _lloyd(self, train: DataFrame, centroids: np.ndarray, mean: np.ndarray | None, elements: int) -> KMeansModel:
+    def _lloyd(self, train: DataFrame, centroids: np.ndarray, mean: np.ndarray | None, elements: int, frozen: int = 0) -> KMeansModel:
         approximate = self.metric == K.L2 and self.approximate_from is not None and elements > self.approximate_from
         model = KMeansModel(centroids, self.metric, mean)
         for _ in range(self.max_iter):
-            sizes, sums, cost = cluster_sums(train, model.centroids, self.metric, approximate)
+            turn = self.seed + model.iterations if self.update_index else self.seed
+            sizes, sums, cost = cluster_sums(train, model.centroids, self.metric, approximate, seed=turn)
             new = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], model.centroids)
+            sizes[:frozen] = np.maximum(sizes[:frozen], 1)  # a frozen cluster may stay empty
             new, _ = A.split_empty(new, sizes, self.empty_policy, self.seed + model.iterations)
             if self.metric == K.IP:
                 new = normalized(new)
             if self.int_centroids:
                 new = np.rint(new)
+            new[:frozen] = model.centroids[:frozen]
             model.shift = float(((new - model.centroids) ** 2).sum())
             model.centroids, model.iterations = new, model.iterations + 1
             model.history.append(cost)
@@ -163,57 +179,189 @@ class KMeans:
         return model
 
 
-def cluster_sums(rows: DataFrame, centroids: np.ndarray, metric: str, approximate: bool = False, vector: str = "x") -> tuple[np.ndarray, np.ndarray, float]:
-    """Sizes, vector sums and total distance of the clusters that the centroids make of ``rows``: one job, k rows come back."""
+def cluster_sums(rows: DataFrame, centroids: np.ndarray, metric: str, approximate: bool = False, vector: str = "x", seed: int = 0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sizes, vector sums and total distance of the clusters that the centroids make of ``rows``: one job, k rows come back.
+
+    With more centroids than one broadcast holds, the rows are labelled block by block first.
+    """
     from .rabitq import Index
 
     k, dim = centroids.shape
-    held = rows.sparkSession.sparkContext.broadcast((centroids, Index.build(centroids) if approximate else None))
-
-    def run(batches):
+    whole = len(K.centroid_blocks(centroids)) == 1
+    held = rows.sparkSession.sparkContext.broadcast((centroids, Index.build(centroids, seed=seed) if approximate else None) if whole else None)
+    source = rows.select(F.col(vector).alias("v"))
+    if not whole:
+        both = rows.select(F.col(vector).alias("v"), F.col(vector).alias("x"))
+        source = rabitq_assign(both, centroids, seed=seed, vector="x") if approximate else assign(both, centroids, metric, "x")
+
+    def labelled(batch, x):
+        if not whole:
+            return batch.column("label").to_numpy().astype(np.int64), batch.column("distance").to_numpy()
         centroids, index = held.value
-        n, total, cost = np.zeros(k, np.int64), np.zeros((k, dim)), np.zeros(k)
+        return index.nearest(x) if index else K.nearest(x, centroids, metric)
+
+    found = _summed(source, labelled, k, dim)
+    held.unpersist()
+    return found
+
+
+def _summed(source: DataFrame, labelled, k: int, dim: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sizes, sums of the vectors ``v`` and total distance by the labels and distances that ``labelled`` gives to a batch."""
+    gathered = k * dim * 8 <= GATHERED_BYTES
+
+    def partial(batches):
+        n, total, cost = (np.zeros(k, np.int64), np.zeros((k, dim)), np.zeros(k)) if gathered else (None, None, None)
         for batch in batches:
             x = K.matrix(batch.column("v"), dim)
-            label, best = index.retrieve(x)[:2] if index else K.nearest(x, centroids, metric)
-            cost += np.bincount(label, weights=best, minlength=k)
-            n += np.bincount(label, minlength=k)
+            if not len(x):
+                continue
+            label, best = labelled(batch, x)
             order = np.argsort(label, kind="stable")
-            own, starts = np.unique(label[order], return_index=True)
-            if len(own):
-                total[own] += np.add.reduceat(x[order], starts, axis=0)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(cost[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], ["cid", "n", "cost", "s"])
-
-    sums = rows.select(F.col(vector).alias("v")).mapInArrow(run, "cid int, n long, cost double, s array<double>")
-    merged = sums.groupBy("cid").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.array(*[F.sum(F.col("s")[i]) for i in range(dim)]).alias("s")).collect()
-    held.unpersist()
+            own, starts, size = np.unique(label[order], return_index=True, return_counts=True)
+            sums, costs = np.add.reduceat(x[order], starts, axis=0), np.add.reduceat(best[order], starts)
+            if gathered:
+                n[own] += size
+                total[own] += sums
+                cost[own] += costs
+            else:
+                yield _sums_batch(own, size, costs, sums)
+        if gathered:
+            at = np.flatnonzero(n)
+            yield _sums_batch(at, n[at], cost[at], total[at])
+
+    def added(batches):
+        found: dict[int, list] = {}
+        for batch in batches:
+            for cid, n, cost, s in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "cost", "s")), strict=True):
+                x = np.frombuffer(s)
+                if cid in found:
+                    own = found[cid]
+                    own[0], own[1], own[2] = own[0] + n, own[1] + cost, own[2] + x
+                else:
+                    found[cid] = [n, cost, x]
+        cids = sorted(found)
+        yield _sums_batch(np.array(cids, dtype=np.int64), np.array([found[c][0] for c in cids], np.int64), np.array([found[c][1] for c in cids], np.float64), [found[c][2] for c in cids])
+
+    schema = "cid long, n long, cost double, s binary"
+    merged = source.mapInArrow(partial, schema).repartition("cid").mapInArrow(added, schema).toArrow()
     sizes, total, cost = np.zeros(k, np.int64), np.zeros((k, dim)), 0.0
-    for row in merged:
-        sizes[row["cid"]], total[row["cid"]] = row["n"], row["s"]
-        cost += row["cost"]
+    cids = merged["cid"].to_numpy()
+    sizes[cids] = merged["n"].to_numpy()
+    for cid, s in zip(cids.tolist(), merged["s"].to_pylist(), strict=True):
+        total[cid] = np.frombuffer(s)
+    cost = float(merged["cost"].to_numpy()[np.argsort(cids)].sum())
     return sizes, total, cost
 
 
+def _sums_batch(cid: np.ndarray, n: np.ndarray, cost: np.ndarray, sums) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(cost, pa.float64()), pa.array([x.tobytes() for x in sums], pa.binary())], ["cid", "n", "cost", "s"])
+
+
 def hierarchical(vectors: DataFrame, k_top: int, k_each: int, key: str = "vec_id", vector: str = "embedding", **params) -> np.ndarray:
-    """Centroids of a two-level clustering: ``k_each`` in each of ``k_top`` clusters, fewer where a cluster is small."""
-    top = KMeans(k_top, **params).fit(vectors, key, vector)
-    labelled = top.transform(vectors.select(F.col(key).alias("vec_id"), F.col(vector).alias("embedding"))).select("vec_id", "label")
-    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    least = params.get("min_points", S.MIN_POINTS)
-    parts = []
-    for cid in range(k_top):
-        k = min(k_each, sizes.get(cid, 0) // max(1, least))
-        if k < 1:
-            parts.append(top.centroids[cid : cid + 1])
-            continue
-        own = vectors.select(F.col(key).alias("vec_id"), F.col(vector).alias("embedding")).join(labelled.where(F.col("label") == cid), "vec_id", "left_semi")
-        parts.append(KMeans(k, **params).fit(own).centroids)
-    return np.concatenate(parts)
+    """Centroids of a two-level clustering: ``k_each`` in each of ``k_top`` clusters, fewer where a cluster is small.
+
+    All lower clusterings are trained together: a row is compared with the centroids of its own
+    upper cluster, so an iteration is one job whatever their number.  ``params`` are those of
+    ``KMeans``; the lower level takes neither ``redo`` nor the quantised index nor frozen centroids.
+    """
+    own = KMeans(k_top, **params)
+    if own.use_residual:
+        raise ValueError("centred vectors have no common space for two levels")
+    rows = vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
+    top = own.fit(rows, "vec_id", "x")
+    labelled = assign(rows.withColumn("v", F.col("x")), top.centroids, own.metric, "x", keep=["vec_id", "v"]).select("vec_id", "v", F.col("label").alias("parent"))
+    labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK_2)
+    try:
+        sizes = {r["parent"]: r["count"] for r in labelled.groupBy("parent").count().collect()}
+        each = {p: min(k_each, sizes.get(p, 0) // max(1, own.min_points)) for p in range(k_top)}
+        starts = np.concatenate([[0], np.cumsum([max(1, each[p]) for p in range(k_top)])])
+        train, order = _first_of_each(labelled, {p: own.max_points * k for p, k in each.items() if k}, sizes, own.seed), "vec_id" if own.init == "first" else "o"
+        seeds = _first_of_each(train, {p: k for p, k in each.items() if k}, None, own.seed, order)
+        centroids = np.repeat(top.centroids, np.diff(starts), axis=0)
+        taken = dict.fromkeys(range(k_top), 0)
+        for r in seeds.orderBy("parent", F.col(order) if order == "vec_id" else S.sample_order("vec_id", own.seed), "vec_id").collect():
+            centroids[starts[r["parent"]] + taken[r["parent"]]] = r["v"]
+            taken[r["parent"]] += 1
+        if own.metric == K.IP:
+            centroids = normalized(centroids)
+        train = train.persist(StorageLevel.MEMORY_AND_DISK_2)
+        for i in range(own.max_iter):
+            n, sums, _ = _sums_by_parent(train, centroids, starts, own.metric)
+            new = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centroids)
+            for p in range(k_top):
+                if each[p]:
+                    span = slice(starts[p], starts[p + 1])
+                    new[span] = A.split_empty(new[span], n[span], own.empty_policy, own.seed + i)[0]
+            if own.metric == K.IP:
+                new = normalized(new)
+            if own.int_centroids:
+                new = np.rint(new)
+            shift = float(((new - centroids) ** 2).sum())
+            centroids = new
+            if shift < own.tolerance:
+                break
+        train.unpersist()
+        return centroids
+    finally:
+        labelled.unpersist()
+
+
+def _first_of_each(rows: DataFrame, most: dict[int, int], sizes: dict[int, int] | None, seed: int, order: str = "o") -> DataFrame:
+    """The first ``most`` rows of each parent, by the hash of the key or by the key; parents without a number are left out.
+
+    With ``sizes`` a threshold on the hash leaves little more than that before rows are ranked, so no
+    parent's rows meet in one task whole.
+    """
+    limit = F.create_map(*[F.lit(x) for p, n in most.items() for x in (p, n)])[F.col("parent")]
+    rows = rows.where(F.col("parent").isin(list(most)))
+    mark = S.sample_order("vec_id", seed)
+    if sizes is not None:
+        if all(sizes[p] <= n for p, n in most.items()):
+            return rows
+        draw = F.conv(F.substring(mark, 1, 8), 16, 10).cast("double") / float(1 << 32)
+        share = {p: min(1.0, 1.2 * n / sizes[p]) for p, n in most.items()}
+        while True:
+            some = rows.where(draw < F.create_map(*[F.lit(x) for p, c in share.items() for x in (p, c)])[F.col("parent")])
+            left = {r["parent"]: r["count"] for r in some.groupBy("parent").count().collect()}
+            short = [p for p, n in most.items() if left.get(p, 0) < min(n, sizes[p])]
+            if not short:
+                break
+            share |= {p: min(1.0, 2 * share[p]) for p in short}
+        rows = some
+    rank = F.row_number().over(Window.partitionBy("parent").orderBy(F.col("vec_id") if order == "vec_id" else mark, "vec_id"))
+    return rows.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+
+
+def _sums_by_parent(rows: DataFrame, centroids: np.ndarray, starts: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """``cluster_sums`` where a row meets only its parent's centroids; parents go in runs whose centroids fit a broadcast."""
+    k, dim = centroids.shape
+    n, total, cost = np.zeros(k, np.int64), np.zeros((k, dim)), 0.0
+    lo = 0
+    while lo < len(starts) - 1:
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + K.BROADCAST_BYTES // (dim * 8), "right")) - 1)
+        held = rows.sparkSession.sparkContext.broadcast((centroids[starts[lo] : starts[hi]], starts[lo : hi + 1] - starts[lo]))
+
+        def labelled(batch, x, held=held, lo=lo):
+            own, at = held.value
+            parent = batch.column("parent").to_numpy() - lo
+            label, best = np.zeros(len(x), np.int64), np.zeros(len(x))
+            for p in np.unique(parent):
+                some = np.flatnonzero(parent == p)
+                found, best[some] = K.nearest(x[some], own[at[p] : at[p + 1]], metric)
+                label[some] = found + at[p]
+            return label, best
+
+        part = _summed(rows.where(F.col("parent").between(lo, hi - 1)).select("v", "parent"), labelled, int(starts[hi] - starts[lo]), dim)
+        held.unpersist()
+        n[starts[lo] : starts[hi]], total[starts[lo] : starts[hi]] = part[0], part[1]
+        cost += part[2]
+        lo = hi
+    return n, total, cost
 
 
 def mini_batch(vectors: DataFrame, k: int, batches: int = 10, key: str = "vec_id", vector: str = "embedding", metric: str = K.L2, seed: int = 0) -> KMeansModel:
     """Mini-batch K-means: each iteration moves the centroids by one hashed part of the rows, ever less as counts grow."""
+    draw = F.conv(F.substring(S.sample_order("vec_id", seed), 1, 8), 16, 10).cast("long")
     rows = vectors.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("x"))
     centroids = np.array([r["x"] for r in S.seed_rows(rows, k, "vec_id", seed).collect()], dtype=np.float64)
     if metric == K.IP:
@@ -221,7 +369,7 @@ def mini_batch(vectors: DataFrame, k: int, batches: int = 10, key: str = "vec_id
     counts = np.zeros(k)
     model = KMeansModel(centroids, metric)
     for part in range(batches):
-        some = rows.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(batches)) == part)
+        some = rows.where(draw % batches == part)
         sizes, sums, cost = cluster_sums(some, model.centroids, metric)
         counts += sizes
         rate = np.divide(sizes, counts, out=np.zeros(k), where=counts > 0)[:, None]

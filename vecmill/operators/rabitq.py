@@ -22,6 +22,8 @@ from . import kernels as K
 #: Alignment of a degenerate centroid, width of the bound, levels of the vector's code.
 DEFAULT_ALIGNMENT, EPSILON, LEVELS = 0.8, 1.9, V.LEVELS
 WORD = 64
+#: Exact comparisons that are made at a time.
+PAIRS = 1 << 16
 
 
 def padded(dim: int) -> int:
@@ -81,58 +83,103 @@ class Index:
         at = np.lexsort((np.arange(k), radius))
         return Index(whole[at], turn, mean, at, signs[at], (radius**2)[at], ip[at], (ip * signs.sum(axis=1))[at], bound[at], dim)
 
-    def rough(self, rows: np.ndarray) -> np.ndarray:
-        """Lower bounds of the squared distances, by row and slot."""
+    def rough(self, rows: np.ndarray, kind=np.float64) -> np.ndarray:
+        """Lower bounds of the squared distances, by row and slot: one matrix product of codes and factors."""
         residual = rows @ self.turn - self.mean
         square = (residual**2).sum(axis=1)
         lo, hi = residual.min(axis=1), residual.max(axis=1)
         delta = (hi - lo) / LEVELS
         codes = np.rint((residual - lo[:, None]) / np.where(delta == 0, 1, delta)[:, None])
         codes[delta == 0] = 0
-        inner = codes @ (self.signs > 0).T.astype(np.float64)
-        spread = (2 * inner - codes.sum(axis=1, keepdims=True)) * self.factor_ip * delta[:, None]
-        return self.center_distance_square + square[:, None] + lo[:, None] * self.factor_ppc + spread - self.error_bound * np.sqrt(square)[:, None]
+        left = np.column_stack([2 * delta[:, None] * codes, lo, -delta * codes.sum(axis=1), -np.sqrt(square), np.ones(len(rows)), square])
+        return left.astype(kind) @ self._right(kind)
 
-    def retrieve(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Label, distance and number of exact comparisons of each row: slots are visited in order."""
+    def _right(self, kind) -> np.ndarray:
+        held = self.__dict__.setdefault("_factors", {})
+        if kind not in held:
+            one = np.ones(len(self.cid))
+            held[kind] = np.column_stack([(self.signs > 0) * self.factor_ip[:, None], self.factor_ppc, self.factor_ip, self.error_bound, self.center_distance_square, one]).astype(kind).T.copy()
+        return held[kind]
+
+    def _whole(self, rows: np.ndarray) -> np.ndarray:
         whole = np.zeros((len(rows), len(self.turn)))
         whole[:, : self.dim] = rows
+        return whole
+
+    def retrieve(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Label, distance and number of exact comparisons of each row: slots are visited in order, where the bound of some row is below its best."""
+        whole = self._whole(rows)
         rough = self.rough(whole)
         best, slot, precise = np.full(len(rows), np.inf), np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-        for s, centroid in enumerate(self.centroids):
-            some = np.flatnonzero(rough[:, s] < best)
-            exact = ((whole[some] - centroid) ** 2).sum(axis=1)
-            better = exact < best[some]
-            precise[some] += 1
-            best[some[better]], slot[some[better]] = exact[better], s
+        for first in range(0, len(self.centroids), WORD):
+            block = rough[:, first : first + WORD]
+            # What no row's best leaves open now stays closed, as bests only fall.
+            for s in (first + np.flatnonzero((block < best[:, None]).any(axis=0))).tolist():
+                some = np.flatnonzero(rough[:, s] < best)
+                exact = ((whole[some] - self.centroids[s]) ** 2).sum(axis=1)
+                better = exact < best[some]
+                precise[some] += 1
+                best[some[better]], slot[some[better]] = exact[better], s
         return self.cid[slot], best, precise
 
+    def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Label and distance of each row: the centroid of the least bound is compared first, then all whose bounds are below its distance."""
+        labels, distances = np.empty(len(rows), np.int64), np.empty(len(rows))
+        step = max(1, K.BLOCK_ELEMENTS // len(self.cid))
+        for at in range(0, len(rows), step):
+            whole = self._whole(rows[at : at + step])
+            rough = self.rough(whole, np.float32)
+            slot = rough.argmin(axis=1)
+            best = ((whole - self.centroids[slot]) ** 2).sum(axis=1)
+            row, other = np.nonzero(rough < best.astype(np.float32)[:, None])
+            for first in range(0, len(row), PAIRS):
+                r, o = row[first : first + PAIRS], other[first : first + PAIRS]
+                exact = ((whole[r] - self.centroids[o]) ** 2).sum(axis=1)
+                order = np.lexsort((o, exact, r))
+                r, o, exact = r[order], o[order], exact[order]
+                lead = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+                r, o, exact = r[lead], o[lead], exact[lead]
+                better = exact < best[r]
+                best[r[better]], slot[r[better]] = exact[better], o[better]
+            labels[at : at + step], distances[at : at + step] = self.cid[slot], best
+        return labels, distances
+
 
 def rabitq_assign(vectors: DataFrame, centroids: np.ndarray, kind: str = "qr", seed: int = 0, epsilon: float = EPSILON, vector: str = "embedding") -> DataFrame:
     """Approximate nearest centroid (squared distance): ``label, distance, precise`` beside the other columns.
 
     ``precise`` is the number of exact comparisons of a row; its sum against rows times centroids is
-    the pruning ratio.  A map over partitions with the index broadcast; centroids beyond the
-    broadcast limit are to be assigned by ``assign``.
+    the pruning ratio.  A map over partitions with the index broadcast; with more centroids than one
+    broadcast holds there is an index for each block of them, and a pass for each keeps the better.
     """
     centroids = np.asarray(centroids, dtype=np.float64)
-    if centroids.nbytes > K.BROADCAST_BYTES:
-        raise ValueError("the centroids exceed the broadcast limit; use assign")
-    held = vectors.sparkSession.sparkContext.broadcast(Index.build(centroids, kind, seed, epsilon))
-    dim = centroids.shape[1]
     names = [c for c in vectors.columns if c != vector]
-    step = max(1, K.BLOCK_ELEMENTS // max(len(centroids), padded(dim)))
+    rows = vectors.select(*names, F.col(vector).alias("_vector"))
+    for n, (first, block) in enumerate(K.centroid_blocks(centroids)):
+        rows = _index_pass(rows, first, Index.build(block, kind, seed, epsilon), n, names)
+    return rows.select(*names, F.col("_label").alias("label"), F.col("_distance").alias("distance"), F.col("_precise").alias("precise"))
+
+
+def _index_pass(rows: DataFrame, first: int, index: Index, n: int, names: list[str]) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(index)
+    step = max(1, K.BLOCK_ELEMENTS // max(len(index.cid), len(index.turn)))
 
     def run(batches):
         index = held.value
         for batch in batches:
-            x = K.matrix(batch.column("_vector"), dim)
+            x = K.matrix(batch.column("_vector"), index.dim)
             parts = [index.retrieve(x[at : at + step]) for at in range(0, len(x), step)]
             label, best, precise = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0) for i in range(3))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(label.astype(np.int32)), pa.array(best.astype(np.float64)), pa.array(precise.astype(np.int64))], [*names, "label", "distance", "precise"])
-
-    schema = vectors.select(*names).schema.add("label", T.IntegerType()).add("distance", T.DoubleType()).add("precise", T.LongType())
-    return vectors.select(*names, F.col(vector).alias("_vector")).mapInArrow(run, schema)
+            label = label + first
+            if n:
+                had, before = batch.column("_label").to_numpy(), batch.column("_distance").to_numpy()
+                precise = precise + batch.column("_precise").to_numpy()
+                label, best = np.where(best < before, label, had), np.where(best < before, best, before)
+            columns = [*[batch.column(c) for c in [*names, "_vector"]], pa.array(label.astype(np.int32)), pa.array(best.astype(np.float64)), pa.array(precise.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "_vector", "_label", "_distance", "_precise"])
+
+    schema = rows.select(*names, "_vector").schema.add("_label", T.IntegerType()).add("_distance", T.DoubleType()).add("_precise", T.LongType())
+    return rows.mapInArrow(run, schema)
 
 
 def metrics(assigned: DataFrame, k: int) -> DataFrame:

@@ -11,37 +11,52 @@ from pyspark.sql import functions as F
 MIN_POINTS, MAX_POINTS = 39, 256
 
 
+#: Rows that a driver sorts to find where a sample ends, and sample sizes up to which it merges the rows themselves.
+SORTED = 10_000
+
+
 def sample_order(key: str, seed: int = 0) -> Column:
-    """A pseudo-random order of rows that depends only on key and seed."""
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    """A pseudo-random order of rows that depends only on key and seed: hexadecimal digits."""
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
 def sample_rows(rows: DataFrame, n: int, key: str = "vec_id", seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows, uniformly and without replacement; the same rows for the same seed.
 
-    Each partition keeps its n first and the driver merges them, so nothing is sorted whole; fails
-    if there are fewer rows.
+    The rows with the smallest hash of their key.  Small samples are merged from the first rows of
+    each partition; for larger ones the hash of the last row is found by counts, digit group by digit
+    group, and the rows are filtered by it, so none is sorted or passes the driver.  Fails if there
+    are fewer rows.
     """
     if n < 0:
         raise ValueError("n must not be negative")
     have = rows.limit(n).count()
     if have < n:
         raise ValueError(f"{n} rows are asked for, there are {have}")
-    return rows.orderBy(sample_order(key, seed), key).limit(n)
-
-
-def large_sample(rows: DataFrame, n: int, total: int, key: str = "vec_id", seed: int = 0) -> DataFrame:
-    """About ``n`` of ``total`` rows by a threshold on a hash: one scan, no sort, for samples too large to merge on a driver."""
-    share = min(1.0, n / max(1, total))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key)), 11) / float(1 << 53)
-    return rows.where(draw < share)
-
-
-def training_rows(rows: DataFrame, k: int, total: int, key: str = "vec_id", seed: int = 0, most: int = MAX_POINTS, exact_limit: int = 1 << 20) -> DataFrame:
-    """The rows themselves, or ``most * k`` of them if there are more."""
-    if total <= most * k:
-        return rows
-    return sample_rows(rows, most * k, key, seed) if most * k <= exact_limit else large_sample(rows, most * k, total, key, seed)
+    if n <= SORTED:
+        return rows.orderBy(sample_order(key, seed), key).limit(n)
+    order = sample_order(key, seed)
+    marks = rows.select(order.alias("o"))
+    prefix, left = "", n
+    while True:
+        part = marks.where(F.col("o").startswith(prefix)).groupBy(F.substring("o", 1, len(prefix) + 4).alias("p")).agg(F.count("*").alias("c"))
+        for r in part.orderBy("p").collect():  # 65536 rows at most
+            if r["c"] >= left:
+                prefix, inside = r["p"], r["c"]
+                break
+            left -= r["c"]
+        if inside <= SORTED or len(prefix) == 32:
+            break
+    if len(prefix) < 32:
+        last = [r["o"] for r in marks.where(F.col("o").startswith(prefix)).orderBy("o").limit(left).collect()]
+        prefix, left = last[-1], last.count(last[-1])
+    # Rows of one key have one hash; of those at the end as many are taken as are missing.
+    return rows.where(order < prefix).unionByName(rows.where(order == prefix).limit(left))
+
+
+def training_rows(rows: DataFrame, k: int, total: int, key: str = "vec_id", seed: int = 0, most: int = MAX_POINTS) -> DataFrame:
+    """The rows themselves, or exactly ``most * k`` of them if there are more."""
+    return rows if total <= most * k else sample_rows(rows, most * k, key, seed)
 
 
 def seed_rows(rows: DataFrame, k: int, key: str = "vec_id", seed: int = 0) -> DataFrame:

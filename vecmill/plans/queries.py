@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +17,7 @@ from ..operators import reshape as H
 from ..operators import sampling as S
 from ..sources import generate as G
 from ..sources import vecs as X
+from .session import delete_at_end, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -450,39 +450,73 @@ def q_rabitq_metrics(spark, sf_dir):
     return R.metrics(_quantised(spark, sf_dir), KC)
 
 
-@_query("SELECT count(*) AS n, true AS enough FROM embeddings")
+@_query(f"{_WITH}, {_INDEX}, {_ROUGH}, {_SCAN}, {_ASSIGNED} SELECT count(*) AS n, count(*) FILTER (s.label = a.label) AS same, avg(CASE WHEN s.label = a.label THEN 1.0 ELSE 0.0 END) >= 0.99 AS enough FROM scan JOIN a USING (vec_id)")
 def q_rabitq_match_rate(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    centroids = _matrix(_seeds(v))
-    exact = N.assign(v, centroids).select("vec_id", F.col("label").alias("exact"))
-    near = R.rabitq_assign(v, centroids, "qr").select("vec_id", "label")
-    return near.join(exact, "vec_id").agg(F.count("*").alias("n"), (F.avg((F.col("label") == F.col("exact")).cast("double")) >= 0.99).alias("enough"))
+    exact = N.assign(v, _matrix(_seeds(v))).select("vec_id", F.col("label").alias("exact"))
+    same = F.col("label") == F.col("exact")
+    both = _quantised(spark, sf_dir).select("vec_id", "label").join(exact, "vec_id")
+    return both.agg(F.count("*").alias("n"), F.count(F.when(same, 1)).alias("same"), (F.avg(same.cast("double")) >= 0.99).alias("enough"))
 
 
 @_query(f"WITH {_V} SELECT vec_id, pos, x AS value FROM ({_CELLS})")
 def q_vecs_roundtrip(spark, sf_dir):
     """Through fvecs files in the shared folder and back."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecmill-")
+    folder = shared_folder(spark)
     path = f"{folder.rstrip('/')}/roundtrip-{np.random.default_rng().integers(1 << 60):x}.fvecs"
     X.write_vecs(_vectors(spark, sf_dir), path)
+    delete_at_end(spark, path)
     return X.read_vecs(spark, path).select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "value"))
 
 
-@_query()
+@_query("SELECT i AS vec_id, p::INTEGER AS pos, ('0x' || substr(md5('0:' || i || ':' || p), 1, 2))::INTEGER::DOUBLE AS value FROM range(1000) AS r(i), range(100) AS d(p)")
 def q_generate_random(spark, sf_dir):
     return H.flatten(G.random_vectors(spark, 1000, 100), "vec_id", "embedding")
 
 
-@_query()
+def _mini_batch_sql(batches: int = 10) -> str:
+    draw = f"('0x' || substr(md5(vec_id || ':0'), 1, 8))::BIGINT % {batches}"
+    out = f"WITH v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e, {draw} AS part FROM embeddings)"
+    out += f", c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY md5(vec_id || ':0'), vec_id) - 1)::INTEGER AS cid, e, 0::DOUBLE AS seen FROM v ORDER BY md5(vec_id || ':0'), vec_id LIMIT {KC})"
+    for i in range(batches):
+        out += f", a{i} AS MATERIALIZED (SELECT vec_id, arg_min(cid, {{'d': d, 'cid': cid}}) AS label FROM (SELECT vec_id, cid, {_l2('v.e', 'c.e')} AS d FROM v, c{i} AS c WHERE part = {i}) GROUP BY vec_id)"
+        out += f", m{i} AS MATERIALIZED (SELECT label AS cid, max(n)::DOUBLE AS n, list(x ORDER BY pos) AS m FROM (SELECT label, pos, avg(x) AS x, count(*) AS n FROM ({_CELLS}) JOIN a{i} USING (vec_id) GROUP BY label, pos) GROUP BY label)"
+        out += f""", c{i + 1} AS MATERIALIZED (SELECT cid, CASE WHEN n IS NULL THEN e ELSE list_transform(list_zip(e, m), lambda z: z[1] * (1 - n / (seen + n)) + n / (seen + n) * z[2]) END AS e,
+  seen + coalesce(n, 0) AS seen FROM c{i} LEFT JOIN m{i} USING (cid))"""
+    return out + f" SELECT vec_id, arg_min(cid, {{'d': d, 'cid': cid}}) AS label FROM (SELECT vec_id, cid, {_l2('v.e', 'c.e')} AS d FROM v, c{batches} AS c) GROUP BY vec_id"
+
+
+@_query(_mini_batch_sql())
 def q_mini_batch(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     return M.mini_batch(v, KC).transform(v).select("vec_id", "label")
 
 
-@_query()
+_TOP, _EACH = 3, 3
+
+
+def _hierarchical_sql() -> str:
+    """Unrolled iterations of the upper clusters, then of the lower ones, each within its upper one."""
+    mean = "list(x ORDER BY pos) AS e"
+    out = f"WITH {_V}, c0 AS (SELECT vec_id::INTEGER AS cid, e FROM v WHERE vec_id < {_TOP})"
+    for i in range(ITERATIONS + 1):
+        out += f", a{i} AS MATERIALIZED (SELECT vec_id, arg_min(cid, {{'d': d, 'cid': cid}}) AS label FROM (SELECT vec_id, cid, {_l2('v.e', 'c.e')} AS d FROM v, c{i} AS c) GROUP BY vec_id)"
+        if i < ITERATIONS:
+            out += f", c{i + 1} AS MATERIALIZED (SELECT label AS cid, {mean} FROM (SELECT label, pos, avg(x) AS x FROM ({_CELLS}) JOIN a{i} USING (vec_id) GROUP BY label, pos) GROUP BY label)"
+    out += f", w AS MATERIALIZED (SELECT vec_id, e, label AS parent FROM v JOIN a{ITERATIONS} USING (vec_id))"
+    out += f", d0 AS MATERIALIZED (SELECT parent, cid, e FROM (SELECT parent, e, row_number() OVER (PARTITION BY parent ORDER BY vec_id) - 1 AS cid FROM w) WHERE cid < {_EACH})"
+    for i in range(ITERATIONS):
+        out += f", b{i} AS MATERIALIZED (SELECT vec_id, parent, arg_min(cid, {{'d': d, 'cid': cid}}) AS label FROM (SELECT vec_id, w.parent, cid, {_l2('w.e', 'd.e')} AS d FROM w JOIN d{i} AS d ON d.parent = w.parent) GROUP BY vec_id, parent)"
+        out += f", d{i + 1} AS MATERIALIZED (SELECT parent, label AS cid, {mean} FROM (SELECT parent, label, pos, avg(x) AS x FROM ({_CELLS}) JOIN b{i} USING (vec_id) GROUP BY parent, label, pos) GROUP BY parent, label)"
+    out += f", g AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY parent, cid) - 1)::INTEGER AS cid, e FROM d{ITERATIONS})"
+    return out + f" SELECT vec_id, arg_min(cid, {{'d': d, 'cid': cid}}) AS label FROM (SELECT vec_id, cid, {_l2('v.e', 'g.e')} AS d FROM v, g) GROUP BY vec_id"
+
+
+@_query(_hierarchical_sql())
 def q_hierarchical(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return N.assign(v, M.hierarchical(v, 3, 3, max_iter=5)).select("vec_id", "label")
+    centroids = M.hierarchical(v, _TOP, _EACH, max_iter=ITERATIONS, tolerance=1e-300, init="first", min_points=1, max_points=1 << 30)
+    return N.assign(v, centroids).select("vec_id", "label")
 
 
 @_query()

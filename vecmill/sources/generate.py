@@ -12,8 +12,9 @@ from .vecs import write_matrix, write_vecs
 
 
 def random_vectors(spark: SparkSession, n: int, dim: int, seed: int = 0) -> DataFrame:
-    """``vec_id, embedding``: n vectors of whole numbers 0 to 255, made where they are used."""
-    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda p: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), p), F.lit(256)).cast("float"))
+    """``vec_id, embedding``: n vectors of whole numbers 0 to 255, made where they are used: two digits of a hash of seed, row and place."""
+    digits = lambda p: F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("id").cast("string"), p.cast("string"))), 1, 2)
+    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda p: F.conv(digits(p), 16, 10).cast("float"))
     return spark.range(n).select(F.col("id").alias("vec_id"), value.alias("embedding"))
 
 
