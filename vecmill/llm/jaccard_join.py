@@ -23,12 +23,14 @@ documents link when ``den * |A & B| >= num * |A | B|``.
    the expansion.  What is left is screened by a longer bitmap and verified by
    the intersection of the whole sets.
 
-Pairs are taken in two rounds.  The first compares each group with one centre
-of each of its index entries, which already joins large groups of near copies
-with a number of comparisons linear in the index.  The second takes all
-remaining group pairs, but for those whose members are in one component
-already: no link between components is lost and no group of near copies is
-expanded into all its pairs.
+Pairs are taken in rounds.  In the first ``STARS`` rounds each group is compared
+with one centre of each of its index entries, another one each time, which joins
+large groups of near copies with a number of comparisons linear in the index.
+What is still apart is then compared exhaustively: the entries of a shingle are
+dealt to cells of two blocks, a task compares the members of a cell by size,
+position and bitmap, and only pairs of different components that pass leave it.
+No link between components is lost, and neither a group nor a shingle is
+expanded into its pairs as rows.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import connected_components
-from .storage import Bitset, batch_rows, bitset, materialize, sized_broadcast, tidy
+from .storage import Bitset, batch_rows, bitset, discarding, materialize, sized_broadcast, tidy
 
 #: Entries of the broadcast order table, at most (16 bytes each).
 MAX_FREQUENT = 1 << 20
@@ -55,8 +57,12 @@ POOL, SHARED_BITS = 5, 28
 TEXT_ROWS, SET_ROWS = 1000, 200
 #: Words of the bitmap that goes with an index entry; the sketch of a set has as many bits or more.
 BITMAP_WORDS = 8
+#: Rounds in which index entries meet one centre each; entries of a block of the exhaustive round, for lists of up to as many.
+STARS, CELL = 2, 1024
+#: Rows that a task of that round compares at a time, at least, and pairs of them.
+CELL_ROWS, CELL_PAIRS = 1 << 15, 1 << 18
 
-SETS = "doc_id long, n_shingles long, set_a long, set_b long, prefix_a long, prefix_b long, prefix array<long>, bitmap array<long>, sketch binary"
+SETS = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, prefix_a long, prefix_b long, prefix array<long>, bitmap array<long>, sketch binary"
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -66,6 +72,11 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]
             yield first + k, np.unique(tx.shingles(hashes[offsets[k] : offsets[k + 1]], width))
 
 
+def _digest(values: np.ndarray) -> tuple[int, int]:
+    d = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def _prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
@@ -112,11 +123,8 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     A text without words gives size 0 and no prefix.
     """
-    order = docs.sparkSession.sparkContext.broadcast(_order(docs, width, num, den))
-
-    def digest(values: np.ndarray) -> tuple[int, int]:
-        d = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
-        return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+    with discarding():
+        order = docs.sparkSession.sparkContext.broadcast(_order(docs, width, num, den))
 
     def sketch(values: np.ndarray) -> np.ndarray:
         # The parity of the shingles in each bin: two sets differ by at least as many shingles as bins.
@@ -143,12 +151,13 @@ def shingle_sets(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     rank = np.where(listed[at] == found, counts[at], rank)
                 prefix = found[np.argsort(rank, kind="stable")[: _prefix_size(k, num, den)]].view(np.int64)
                 full = sketch(found)
-                rows.append((*digest(found), *digest(prefix), prefix, _folded(full, 8 * BITMAP_WORDS).view(np.int64), full.tobytes()))
+                rows.append((*_digest(found), *_digest(prefix), prefix, _folded(full, 8 * BITMAP_WORDS).view(np.int64), full.tobytes()))
             kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
             columns = [pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *columns], ["doc_id", "n_shingles", "set_a", "set_b", "prefix_a", "prefix_b", "prefix", "bitmap", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), *columns], ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "prefix_a", "prefix_b", "prefix", "bitmap", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(make), SETS)
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text")).mapInArrow(tidy(make), SETS)
 
 
 def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
@@ -179,24 +188,30 @@ def _screened(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFram
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of representatives whose whole sets link."""
+    with discarding() as keep:
+        return keep(_checked(pairs, docs, reps, width, num, den))
+
+
+def _checked(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, num: int, den: int) -> DataFrame:
     pairs = _screened(pairs, reps, num, den)
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    wanted = bitset(ends, "id")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    needed = materialize(reps.join(ends, "id", "left_semi").select("id", F.col("rep").alias("doc_id"), "set_a", "set_b"), "needed")
+    wanted = bitset(needed, "doc_id")
     held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def some(batches):
         for batch in batches:
             hit = held.value.contains(batch.column("slot").to_numpy())
             batch = batch.filter(pa.array(hit))
-            sets = [found.tobytes() for _, found in _sets(batch, width)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+            sets = [found for _, found in _sets(batch, width)]
+            digests = [_digest(found) for found in sets]
+            columns = [pa.array([d[k] for d in digests], pa.int64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "set_a", "set_b", "shingles"])
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), wanted.slot(F.col("doc_id")).alias("slot"))
-    sets = rows.mapInArrow(tidy(some), "id long, shingles binary")
-    needed = ends.distinct()
-    # A doc_id that stands on several rows has as many sets; its pairs are then checked for each.
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), wanted.slot(F.col("doc_id").cast("long")).alias("slot"))
+    sets = rows.mapInArrow(tidy(some), "doc_id long, set_a long, set_b long, shingles binary")
     with batch_rows(docs.sparkSession, TEXT_ROWS):
-        sets = materialize(sets.join(needed, "id", "left_semi"), "sets")
+        sets = materialize(sets.join(needed, ["doc_id", "set_a", "set_b"]).select("id", "shingles").dropDuplicates(["id"]), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
 
     def check(batches):
@@ -212,47 +227,125 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, nu
         return materialize(both.mapInArrow(tidy(check), "a long, b long").distinct(), "verified")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """Near-duplicate classes: ``doc_id, n_shingles, component_id, class_id, class_size``.
+def _whole_runs(batches, names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of whole runs of equal values in ``names``, at least CELL_ROWS at a time but for the last, and where each row's run ends."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def ends(table: pa.Table) -> np.ndarray:
+        new = np.ones(table.num_rows + 1, dtype=bool)
+        new[1:-1] = np.any([np.diff(table.column(c).to_numpy()) != 0 for c in names], axis=0)
+        starts = np.flatnonzero(new)
+        return np.repeat(starts[1:], np.diff(starts))
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= CELL_ROWS:
+            table = pa.Table.from_batches(held).combine_chunks()
+            end = ends(table)
+            # The last run may go on in the next batch.
+            cut = int(np.searchsorted(end, size))
+            if cut:
+                yield table.slice(0, cut).combine_chunks(), end[:cut]
+            held, size = table.slice(cut).combine_chunks().to_batches(), size - cut
+    if size:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, ends(table)
+
+
+def _alike_in_cells(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of members of a cell that are in different components and pass size, position and bitmap.
+
+    cells: see ``_cells``, sorted by cell within partitions.  Rows of a cell are compared with those
+    a fixed number of places later, for all cells of a chunk at once.
+    """
+    group = ["inside", "key", "i", "j"]
+
+    def compare(batches):
+        for table, end in _whole_runs(batches, group):
+            inside, i, j, own, gid, ids, n, at, c = (table.column(x).to_numpy() for x in ("inside", "i", "j", "own", "gid", "id", "n", "at", "c"))
+            bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+            live, lag, found = np.arange(len(end)), 0, []
+            while len(live):
+                lag += 1
+                live = live[live + lag < end[live]]
+                for first in range(0, len(live), CELL_PAIRS):
+                    x = live[first : first + CELL_PAIRS]
+                    y = x + lag
+                    keep = (c[x] != c[y]) & ((i[x] == j[x]) | (own[x] != own[y])) & ((inside[x] == 1) | (gid[x] != gid[y]))
+                    x, y = x[keep], y[keep]
+                    less, more = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+                    # What follows the common shingle, and at most all that stands before it.
+                    most = np.minimum(at[x], at[y]) + 1 + np.minimum(n[x] - at[x] - 1, n[y] - at[y] - 1)
+                    keep = (den * less >= num * more) & ((inside[x] == 1) | ((num + den) * most >= num * (n[x] + n[y])))
+                    x, y = x[keep], y[keep]
+                    unlike = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                    keep = (num + den) * (n[x] + n[y] - unlike) >= 2 * num * (n[x] + n[y])
+                    if keep.any():
+                        x, y = ids[x[keep]], ids[y[keep]]
+                        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return cells.repartition(*group).sortWithinPartitions(*group).mapInArrow(tidy(compare), "a long, b long").where("a <> b").distinct()
+
+
+def _cells(entries: DataFrame) -> DataFrame:
+    """``entries`` (inside, key, size, id, ...) dealt to the cells of two blocks of their key, ``i`` and ``j``; ``own`` is a row's block.
+
+    A list of m entries has about the root of m / CELL blocks, so m entries go to as many cells each.
+    """
+    blocks = F.expr(f"cast(ceil(sqrt(size / {CELL})) as int)")
+    dealt = entries.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "size")
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (``id, component_id``) after more links; only what they join is looked at again."""
+    of = lambda df, key: df.join(found.select(F.col("id").alias(key), F.col("component_id").alias("_c")), key, "left").withColumn(key, F.coalesce("_c", key)).drop("_c")
+    more = connected_components(of(of(links.select("a", "b"), "a"), "b"))
+    old = found.join(more.select(F.col("id").alias("component_id"), F.col("component_id").alias("_c")), "component_id", "left").select("id", F.coalesce("_c", "component_id").alias("component_id"))
+    new = more.join(found.select(F.col("component_id").alias("id")), "id", "left_anti")
+    return materialize(old.unionByName(new.select("id", "component_id")), "found")
+
 
-    docs: ``doc_id`` and ``text`` (other columns are not read).  Documents link when the Jaccard
-    similarity of their sets of ``width``-word shingles is at least ``num / den``; component_id is
-    the smallest doc_id reachable by links.  Returns one row per input row.
+def _classes(docs: DataFrame, width: int, num: int, den: int, versions: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets, and the classes of equal sets: ``set_a, set_b, class_id, class_size, root, component_id``.
 
-    Null and empty texts, or texts without words: n_shingles 0 and linked with nothing.  A null
-    doc_id: counted, linked with nothing, component_id null.  Repeated rows are copies of each
-    other; rows with one doc_id and different texts are versions of one document, linked by their id.
+    Classes have numbers of their own, so a doc_id may stand on rows with different texts; with
+    ``versions`` those are linked.
     """
     sets = shingle_sets(docs, width, num, den)
     with batch_rows(docs.sparkSession, TEXT_ROWS):
         sets = materialize(sets, "shingles")
-    usable = sets.where("doc_id is not null and n_shingles > 0")
-    classes = materialize(usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size")), "classes")
+    with discarding() as keep:
+        return sets, keep(_joined_classes(docs, sets, width, num, den, versions))
 
-    reps = usable.join(classes.select("set_a", "set_b", F.col("rep").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["set_a", "set_b"])
-    reps = materialize(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "prefix_a", "prefix_b", "prefix", "bitmap", "sketch"), "reps")
-    groups = materialize(reps.groupBy("prefix_a", "prefix_b", "n").agg(F.min("id").alias("gid"), F.count("*").alias("members")), "groups")
-    grouped = reps.select("id", "n", "prefix_a", "prefix_b").join(groups, ["prefix_a", "prefix_b", "n"]).select("id", "gid", "members")
-    shared = materialize(grouped.where("members > 1"), "shared")
 
-    def required(x, y):
-        return num * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+def _joined_classes(docs: DataFrame, sets: DataFrame, width: int, num: int, den: int, versions: bool) -> DataFrame:
+    usable = sets.where("doc_id is not null and n_shingles > 0")
+    classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("class_size"))
+    whole = usable.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "set_a", "set_b", "prefix_a", "prefix_b", "prefix", "bitmap", "sketch")
+    reps = whole.join(classes, ["set_a", "set_b", "rep"]).dropDuplicates(["set_a", "set_b"])
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("id"), "*"), "reps")
+    groups = materialize(reps.groupBy("prefix_a", "prefix_b", "n").agg(F.min("id").alias("gid"), F.count("*").alias("members")), "groups")
+    grouped = reps.select("id", "n", "prefix_a", "prefix_b").join(groups.where("members > 1"), ["prefix_a", "prefix_b", "n"]).select("id", "gid")
+    shared = materialize(grouped, "shared")
+    words = [f"b{k}" for k in range(BITMAP_WORDS)]
 
     def passes(x, y):
-        """The filters of a group pair that shares the shingle at positions ``at``."""
+        """The filters of a group pair that shares the shingle at positions ``at``, and the bitmaps of their heads."""
         n, m, i, j = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.at", f"{y}.at"))
         most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-        return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * most >= required(x, y))
-
-    def alike(x, y):
-        """The bitmap filter of two sets."""
-        unlike = sum((F.bit_count(F.col(f"{x}.b{k}").bitwiseXOR(F.col(f"{y}.b{k}"))) for k in range(BITMAP_WORDS)), F.lit(0))
+        unlike = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in words), F.lit(0))
         # |A & B| = (n + m - |A ^ B|) / 2, and |A ^ B| is at least the number of unlike bins.
-        return (num + den) * (F.col(f"{x}.n") + F.col(f"{y}.n") - unlike) >= 2 * required(x, y)
+        return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * most >= num * (n + m)) & ((num + den) * (n + m - unlike) >= 2 * num * (n + m))
 
-    heads = reps.join(groups.select(F.col("gid").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    heads = reps.join(groups.select(F.col("gid").alias("id")), "id", "left_semi")
     entries = heads.select(F.col("id").alias("gid"), F.explode("prefix").alias("token"))
-    tokens = materialize(entries.groupBy("token").agg(F.count("*").alias("c"), F.min("gid").alias("centre")).where("c > 1").select("token", "centre"), "tokens")
+    tokens = materialize(entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "tokens")
     live = bitset(tokens, "token", hashed=True)
     held = docs.sparkSession.sparkContext.broadcast(live)
 
@@ -265,53 +358,83 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     index = (
         heads.select(F.col("id").alias("gid"), "n", "bitmap", F.posexplode("prefix").alias("at", "token"))
         .mapInArrow(tidy(postings), "gid long, n long, token long, at int, bitmap array<long>")
-        .join(tokens, "token")
-        .select("token", "gid", "n", "at", "centre", *[F.col("bitmap")[k].alias(f"b{k}") for k in range(BITMAP_WORDS)])
+        .join(tokens, "token", "left_semi")
+        .select("token", "gid", "n", "at", *[F.col("bitmap")[k].alias(b) for k, b in enumerate(words)], F.col("gid").alias("lo"), F.col("gid").alias("hi"))
     )
     index = materialize(index, "index")
 
-    # Round 1: the head of each group against the centre of its index entries, each member against the head of its group.
-    x, y = index.alias("x"), index.where("gid = centre").alias("y")
-    star = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & passes("x", "y") & alike("x", "y"))
-    star = star.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
-    star = materialize(star.union(shared.where("id <> gid").select(F.col("id").alias("a"), F.col("gid").alias("b"))), "pairs")
-    links = _verified(star, docs, reps, width, num, den)
-    found = materialize(connected_components(links), "found")
-
-    # Round 2: group pairs that are not yet in one component, expanded to their members.
-    of = lambda df, key: df.join(found.select(F.col("id").alias(key), F.col("component_id").alias("c")), key, "left").withColumn("c", F.coalesce("c", key))
-    bits = [f"b{k}" for k in range(BITMAP_WORDS)]
-    members = reps.select("id", "prefix_a", "prefix_b", "n", *[F.col("bitmap")[k].alias(b) for k, b in enumerate(bits)]).join(groups, ["prefix_a", "prefix_b", "n"])
-    members = materialize(of(members.select("id", "gid", "n", *bits), "id"), "members")
-    spans = members.groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("members"))
-    entry = index.join(spans, "gid")
-    mixed = entry.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
-    entry = materialize(entry.join(mixed, "token", "left_semi"), "entries")
-    x, y = entry.alias("x"), entry.alias("y")
-    apart = (F.col("x.lo") != F.col("x.hi")) | (F.col("y.lo") != F.col("y.hi")) | (F.col("x.lo") != F.col("y.lo"))
-    # The bitmap of an entry is that of the group's head.
-    single = (F.col("x.members") == 1) & (F.col("y.members") == 1)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & apart & passes("x", "y") & (~single | alike("x", "y")))
-    pairs = pairs.select(F.col("x.gid").alias("ga"), F.col("y.gid").alias("gb")).distinct()
-    inside = spans.where("lo <> hi").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
-    one, two = members.alias("x"), members.alias("y")
-    pairs = pairs.union(inside).join(one, F.col("ga") == F.col("x.gid"))
-    pairs = pairs.join(two, (F.col("gb") == F.col("y.gid")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.id") != F.col("y.id")) & alike("x", "y"))
-    pairs = materialize(pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
-    more = _verified(pairs, docs, reps, width, num, den)
-    links = links.unionByName(more)
-
-    # Rows with one doc_id and different texts belong together.
-    versions = classes.select("set_a", "set_b", "rep").join(usable.select("set_a", "set_b", "doc_id").distinct(), ["set_a", "set_b"])
-    versions = versions.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    repeated = usable.groupBy("doc_id").agg(F.countDistinct("set_a").alias("k")).where("k > 1").select(F.col("doc_id").alias("a"))
-    links = links.unionByName(versions.join(repeated, "a", "left_semi"))
-    components = materialize(connected_components(links), "components")
-
-    classes = materialize(
-        classes.join(components.select(F.col("id").alias("rep"), "component_id"), "rep", "left").select("set_a", "set_b", "class_size", F.col("rep").alias("class_id"), F.coalesce("component_id", "rep").alias("component_id")),
+    def apart(x, y):
+        """Some members of two groups are in different components."""
+        return (F.col(f"{x}.lo") != F.col(f"{x}.hi")) | (F.col(f"{y}.lo") != F.col(f"{y}.hi")) | (F.col(f"{x}.lo") != F.col(f"{y}.lo"))
+
+    found = None
+    for salt in range(STARS):
+        # The head of each group against the centre of its index entries; in the first round each member against the head of its group.
+        # The first centre is one with the fewest rarer shingles: what many are copies of has less of its own than they have.
+        mark = F.pmod(F.xxhash64(F.lit(salt), "gid"), F.lit(1 << 31)) + (F.col("at").cast("long") * (1 << 31) if salt == 0 else 0)
+        marked = index.join(index.groupBy("token").agg(F.min(mark).alias("centre")), "token").withColumn("mark", mark)
+        x, y = marked.alias("x"), marked.where("mark = centre").alias("y")
+        star = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") != F.col("y.gid")) & apart("x", "y") & passes("x", "y"))
+        star = star.select(F.least("x.gid", "y.gid").alias("a"), F.greatest("x.gid", "y.gid").alias("b")).distinct()
+        if found is None:
+            star = star.union(shared.where("id <> gid").select(F.col("gid").alias("a"), F.col("id").alias("b")))
+        links = _verified(materialize(star, "pairs"), docs, reps, width, num, den)
+        found = connected_components(links) if found is None else _joined(found, links)
+
+        # Entries of shingles whose groups are all in one component are done with.
+        component = lambda df: df.join(found, "id", "left").withColumn("c", F.coalesce("component_id", "id"))  # noqa: B023, E731
+        spans = component(shared).groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+        single = index.select("gid").distinct().join(spans, "gid", "left_anti").select(F.col("gid").alias("id"))
+        spans = spans.unionByName(component(single).select(F.col("id").alias("gid"), F.col("c").alias("lo"), F.col("c").alias("hi")))
+        entry = index.drop("lo", "hi").join(spans, "gid")
+        mixed = entry.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("token")
+        index = materialize(entry.join(mixed, "token", "left_semi").select(*index.columns), "entries")
+
+    # All members of what is still apart, cell by cell.
+    member = reps.select("id", F.col("id").alias("gid"), "bitmap").join(shared.select("id"), "id", "left_anti")
+    member = component(member.unionByName(reps.select("id", "bitmap").join(shared, "id").select("id", "gid", "bitmap")))
+    member = member.select("id", "gid", "c", F.to_binary(F.array_join(F.transform("bitmap", lambda w: F.lpad(F.hex(w), 16, "0")), ""), F.lit("hex")).alias("bitmap"))
+    expanded = index.select("token", "gid", "n", "at").join(member, "gid")
+    sizes = expanded.groupBy("token").agg(F.count("*").alias("size"))
+    expanded = expanded.join(sizes, "token").select(F.lit(0).alias("inside"), F.col("token").alias("key"), "size", "gid", "id", "n", "at", "c", "bitmap")
+    torn = component(shared).groupBy("gid").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("gid", "size")
+    within = member.join(torn, "gid").join(reps.select("id", "n"), "id")
+    within = within.select(F.lit(1).alias("inside"), F.col("gid").alias("key"), "size", "gid", "id", "n", F.lit(0).alias("at"), "c", "bitmap")
+    pairs = materialize(_alike_in_cells(_cells(expanded.unionByName(within)), num, den), "pairs")
+    found = _joined(found, _verified(pairs, docs, reps, width, num, den))
+
+    if versions:
+        own = usable.select("doc_id", "set_a", "set_b").distinct()
+        several = own.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+        texts = own.join(sized_broadcast(several), "doc_id").join(reps.select("set_a", "set_b", "id"), ["set_a", "set_b"]).select("doc_id", "id")
+        first = texts.groupBy("doc_id").agg(F.min("id").alias("a"))
+        found = _joined(found, texts.join(first, "doc_id").select("a", F.col("id").alias("b")))
+
+    least = reps.select("id", "rep").join(found, "id").groupBy("component_id").agg(F.min("rep").alias("least"))
+    linked = found.join(least, "component_id").select("id", F.col("component_id").alias("root"), "least")
+    classes = reps.select("id", "set_a", "set_b", "rep", "class_size").join(linked, "id", "left")
+    return materialize(
+        classes.select("set_a", "set_b", F.col("rep").alias("class_id"), "class_size", F.coalesce("root", "id").alias("root"), F.coalesce("least", "rep").alias("component_id")),
         "classes",
     )
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """Near-duplicate classes: ``doc_id, n_shingles, component_id, class_id, class_size``.
+
+    docs: ``doc_id`` and ``text`` (other columns, whatever their names, are not read).  Documents link
+    when the Jaccard similarity of their sets of ``width``-word shingles is at least ``num / den``;
+    component_id is the smallest doc_id reachable by links, class_id that of the documents with an
+    equal set, which class_size counts.  Returns one row per input row; an empty table gives none.
+
+    Null and empty texts, or texts without words: n_shingles 0 and linked with nothing.  Very long
+    texts are taken whole, in slices of a megabyte.  A null doc_id: counted, linked with nothing,
+    component_id null.  Repeated rows are copies of each other; rows with one doc_id and different
+    texts are versions of one document, linked by their id.  Sets hold 64-bit hashes of shingles, so
+    two documents could be judged wrongly only where hashes of different shingles collide; ties in
+    the order of shingles and of groups go by hash and number and don't affect the result.
+    """
+    sets, classes = _classes(docs, width, num, den, versions=True)
     rows = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return rows.select(
@@ -326,12 +449,22 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
 def keep_one(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """The documents without near duplicates: one row of each component stays, that of the smallest doc_id.
 
-    Documents without words, and those without a doc_id, link with nothing and all stay.
+    Rows without words, and those without a doc_id, link with nothing and all stay.  Rows that share
+    a doc_id are judged by their texts like any others; of several rows of the smallest doc_id that
+    with the smallest hash of its text stays, and of rows that are alike in both one.  Columns pass
+    through; very long texts are taken whole; an empty table gives none.
     """
-    found = materialize(jaccard_components(docs, width, num, den), "found")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(sized_broadcast(gone), "doc_id", "left_anti")
-    # Repeated rows are copies of each other as well: of the rows of one doc_id one stays.
-    repeated = sized_broadcast(found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    sets, classes = _classes(docs, width, num, den, versions=False)
+    rows = sets.where("doc_id is not null and n_shingles > 0").select("doc_id", "text_key", "set_a", "set_b").join(classes.select("set_a", "set_b", "root"), ["set_a", "set_b"])
+    rows = materialize(rows.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("times")), "rows")
+    several = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("k")).where("k > 1")
+    gone = rows.join(several, "root").where(F.struct("doc_id", "text_key") != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    repeated = sized_broadcast(rows.where("times > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    same = lambda df: (F.col("id") == df["_id"]) & (F.col("key") == df["_key"])
+    gone = sized_broadcast(gone)
+    kept = whole.join(gone, same(gone), "left_anti")
+    plain = [F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    once = kept.join(repeated, same(repeated), "left_semi").groupBy("id", "key").agg(F.min_by("row", F.xxhash64(*plain)).alias("row")).select("row")
+    kept = kept.join(repeated, same(repeated), "left_anti").select("row").unionByName(once)
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
