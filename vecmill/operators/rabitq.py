@@ -22,8 +22,8 @@ from . import kernels as K
 #: Alignment of a degenerate centroid, width of the bound, levels of the vector's code.
 DEFAULT_ALIGNMENT, EPSILON, LEVELS = 0.8, 1.9, V.LEVELS
 WORD = 64
-#: Exact comparisons that are made at a time.
-PAIRS = 1 << 16
+#: Exact comparisons that are made at a time, and the share of centroids from which all are compared.
+PAIRS, OPEN = 1 << 16, 32
 
 
 def padded(dim: int) -> int:
@@ -123,7 +123,10 @@ class Index:
         return self.cid[slot], best, precise
 
     def nearest(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Label and distance of each row: the centroid of the least bound is compared first, then all whose bounds are below its distance."""
+        """Label and distance of each row: the centroid of the least bound is compared first, then all whose bounds are below its distance.
+
+        Rows whose bounds leave more than one centroid of OPEN open are compared with all by a matrix product, which is faster then.
+        """
         labels, distances = np.empty(len(rows), np.int64), np.empty(len(rows))
         step = max(1, K.BLOCK_ELEMENTS // len(self.cid))
         for at in range(0, len(rows), step):
@@ -131,7 +134,12 @@ class Index:
             rough = self.rough(whole, np.float32)
             slot = rough.argmin(axis=1)
             best = ((whole - self.centroids[slot]) ** 2).sum(axis=1)
-            row, other = np.nonzero(rough < best.astype(np.float32)[:, None])
+            near = rough < best.astype(np.float32)[:, None]
+            wide = np.flatnonzero(near.sum(axis=1, dtype=np.int32) * OPEN > len(self.cid))
+            if len(wide):
+                near[wide] = False
+                slot[wide], best[wide] = K.nearest(whole[wide], self.centroids, K.L2)
+            row, other = np.nonzero(near)
             for first in range(0, len(row), PAIRS):
                 r, o = row[first : first + PAIRS], other[first : first + PAIRS]
                 exact = ((whole[r] - self.centroids[o]) ** 2).sum(axis=1)
