@@ -1,9 +1,10 @@
 """Boilerplate lines by their frequency within a host; DataFrame functions only.
 
 For each host, the pages that contain a line are divided by the pages of the
-host; lines above a ratio are dropped.  Exact copies of a page count once: a
-text that is often copied is no boilerplate, and near-duplicate removal would
-find nothing left of it.  Lines are compared without the blanks around them, and
+host; lines above a ratio are dropped.  Each row is a page.  With
+``copies_once`` rows of equal text are one page: where near-duplicate removal
+follows, a text that is often copied is no boilerplate, and nothing would be
+left of it to be found.  Lines are compared without the blanks around them, and
 pages whole, by a 64-bit hash and their length.
 """
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
-#: Boilerplate lines that are broadcast (24 bytes each); with more, pages and lines meet by a shuffle on the host.
-BROADCAST_LINES = 1 << 20
+#: Boilerplate lines that are broadcast (24 bytes each); with more, pages and lines meet by a shuffle on the host and one of SALTS numbers.
+BROADCAST_LINES, SALTS = 1 << 20, 64
 
 
 def _lines(text: str) -> Column:
@@ -31,33 +32,40 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(bare).alias("h"), F.length(bare).alias("n"))
 
 
-def boilerplate_lines(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int = 1, copies_once: bool = False) -> DataFrame:
     """The lines to drop: ``host, line (struct of hash and length), pages, host_pages``."""
     pages = docs.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.struct(F.xxhash64(text).alias("h"), F.length(text).alias("n")).alias("page"), F.col(text).alias("text"))
-    totals = pages.groupBy("host").agg(F.count_distinct("page").alias("host_pages"))
+    number = F.count_distinct("page") if copies_once else F.count("*")
+    totals = pages.groupBy("host").agg(number.alias("host_pages"))
     each = pages.select("host", "page", F.explode(F.array_distinct(F.transform(_lines("text"), _key))).alias("line")).where("line.n > 0")
-    # The page is part of the key of the first exchange, so a line on a third of all pages is dealt out evenly.
-    counts = each.distinct().groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    if copies_once:
+        # The page is part of the key of the first exchange, so a line on a third of all pages is dealt out evenly.
+        each = each.distinct()
+    counts = each.groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     return counts.join(totals, counts["host"].eqNullSafe(totals["host"])).select(counts["host"], "line", "pages", "host_pages").where(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 8, counts: bool = True) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 1, copies_once: bool = False, counts: bool = True) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text`` and, with ``counts``, ``n_lines`` and ``n_dropped``.
 
     A line is dropped where more than ``ratio`` of its host's pages, and ``min_pages`` at least,
-    contain it; each page counts once, however often it repeats the line.  Blank lines stay.  Null
-    hosts are one host of their own.  A null text stays null, has no lines and is no page; an empty
-    text has one line, an empty one.  Repeated rows are copies.  Other columns pass through, whatever
-    their names; columns named as the counts are replaced by them.
+    contain it; each page counts once, however often it repeats the line.  A share of exactly
+    ``ratio`` stays.  Blank lines stay.  Null hosts are one host of their own.  A null text stays null,
+    has no lines and is no page; an empty text has one line, an empty one.  Repeated rows are pages
+    each, unless ``copies_once``.  Very long texts are taken whole.  An empty table gives none.  Other
+    columns pass through, whatever their names; columns named as the counts are replaced by them.
     """
-    found = materialize(boilerplate_lines(docs, host, text, ratio, min_pages).select("host", "line"), "boilerplate")
+    found = materialize(boilerplate_lines(docs, host, text, ratio, min_pages, copies_once).select("host", "line"), "boilerplate")
     n = found.count()
     # At most (lines of a page) / ratio lines of one host can pass, so the arrays are bounded whatever the host's size.
     by_host = found.groupBy(F.col("host").alias("h")).agg(F.collect_set("line").alias("drop"))
-    if n <= BROADCAST_LINES:
-        by_host = F.broadcast(by_host)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).alias("own"), F.col(text).alias("text"))
-    rows = rows.join(by_host, F.col("own").eqNullSafe(F.col("h")), "left")
+    if n <= BROADCAST_LINES:
+        rows = rows.join(F.broadcast(by_host), F.col("own").eqNullSafe(F.col("h")), "left")
+    else:
+        by_host = by_host.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+        rows = rows.join(by_host, F.col("own").eqNullSafe(F.col("h")) & (F.col("salt") == F.col("part")), "left")
     kept = F.when(F.col("drop").isNull(), _lines("text")).otherwise(F.filter(_lines("text"), lambda x: ~F.array_contains(F.col("drop"), _key(x))))
     rows = rows.select("row", "text", kept.alias("kept"))
     size = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
@@ -66,12 +74,13 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     return rows.select(*old, *[c.alias(name) for name, c in new.items()])
 
 
-def line_dedup_sql(ratio: float, min_pages: int) -> str:
+def line_dedup_sql(ratio: float, min_pages: int = 1, copies_once: bool = False) -> str:
     """DuckDB SQL for the query over documents."""
+    once = "DISTINCT source, text," if copies_once else "source,"
     return f"""
 WITH l AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-e AS (SELECT DISTINCT source, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))))) AS line FROM l WHERE text IS NOT NULL),
-t AS (SELECT source, count(DISTINCT text) AS n FROM l GROUP BY source),
+e AS (SELECT {once} unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))))) AS line FROM l WHERE text IS NOT NULL),
+t AS (SELECT source, count({"DISTINCT " if copies_once else ""}text) AS n FROM l GROUP BY source),
 c AS (SELECT source, line, count(*) AS pages FROM e WHERE line <> '' GROUP BY source, line),
 b AS (SELECT c.source, list(c.line) AS drop_lines FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
       WHERE c.pages >= {min_pages} AND c.pages > {ratio}::DOUBLE * t.n GROUP BY c.source),

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Boilerplate is on more than a twentieth of a host's pages, and on eight at least.
-LINE_RATIO, LINE_PAGES = 0.05, 8
+#: Boilerplate is on more than a twentieth of a host's pages; a line on one page only is none, however few pages its host has.
+LINE_RATIO, LINE_PAGES = 0.05, 2
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,22 @@ SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, compone
   coalesce(k.class_id, vec_id) AS class_id, coalesce(k.class_size, 1) AS class_size FROM c LEFT JOIN k USING (vec_id)"""
 
 
+#: All pairs of classes of equal sets that share a shingle, for tables of the size on which queries are compared.
+JACCARD_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS g FROM d),
+c AS MATERIALIZED (SELECT g, min(doc_id) AS class_id, count(*) AS class_size FROM s WHERE len(g) > 0 AND doc_id IS NOT NULL GROUP BY g),
+t AS MATERIALIZED (SELECT class_id, len(g) AS n, unnest(g) AS x FROM c),
+p AS MATERIALIZED (SELECT a.class_id AS a, b.class_id AS b FROM t AS a JOIN t AS b ON a.x = b.x AND a.class_id < b.class_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a AS class_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(c.class_id, doc_id) AS class_id, coalesce(class_size, 1) AS class_size
+FROM s LEFT JOIN c ON s.g = c.g AND doc_id IS NOT NULL LEFT JOIN m USING (class_id)"""
+
+
 def byte_vocabulary() -> str:
     """The byte-level tokenizer file installed on every machine."""
     import public_tokenizers
@@ -101,7 +117,6 @@ _EXTRA = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[I
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all formatted conversations, and of one made of control strings."""
-    from .bm25 import search_sql
     from .chat import digest_conversations
 
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -131,8 +146,17 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     from .bm25 import search_sql
     from .chat import digest_sql
+    from .licenses import license_sql
     from .line_dedup import line_dedup_sql
     from .url_filter import filter_urls_sql
 
     extra = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in _EXTRA)
-    return {"op2_embedding_dedup": EMBEDDINGS_SQL, "op4_url_filter": filter_urls_sql(), "op5_bm25_topk": search_sql(), "op9_chat_format": digest_sql(extra), "op8_line_dedup": line_dedup_sql(LINE_RATIO, LINE_PAGES)}
+    return {
+        "op2_embedding_dedup": EMBEDDINGS_SQL,
+        "op3_jaccard_join": JACCARD_SQL,
+        "op4_url_filter": filter_urls_sql(),
+        "op5_bm25_topk": search_sql(),
+        "op7_license_scan": license_sql(),
+        "op8_line_dedup": line_dedup_sql(LINE_RATIO, LINE_PAGES),
+        "op9_chat_format": digest_sql(extra),
+    }
