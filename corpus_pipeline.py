@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines leave the texts; n_chars follows."""
-    kept = drop_boilerplate(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES, counts=False)
+    """Boilerplate lines leave the texts; n_chars follows.  Exact copies are one page, as the next stage is to find them whole."""
+    kept = drop_boilerplate(docs, ratio=LINE_RATIO, min_pages=LINE_PAGES, copies_once=True, counts=False)
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 
 
