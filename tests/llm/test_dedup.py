@@ -117,6 +117,40 @@ def test_jaccard_edges(spark):
     assert J.jaccard_components(df.limit(0), 3, 9, 10).count() == 0
 
 
+def test_jaccard_makes_no_rows_of_the_pairs_of_a_family(spark, monkeypatch):
+    """2000 texts, each a copy of the one before with one word changed: the rows that are made grow with the links, not with all pairs."""
+    rng = random.Random(6)
+    words = [f"a{k}" for k in range(60)]
+    rows = []
+    for i in range(2000):
+        words[rng.randrange(60)] = f"b{i}"
+        rows.append((i, " ".join(words)))
+    made = {}
+    write = J.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(J, "materialize", counted)
+    monkeypatch.setattr(J, "CELL", 64)  # lists are divided among cells
+    found = J.jaccard_components(spark.createDataFrame(rows, DOCS), 1, 9, 10).collect()
+    assert {r["component_id"] for r in found} == {0}
+    assert max(made["pairs"], made["verified"], made["screened"]) < 10 * len(rows)
+
+
+def test_rows_of_one_id_with_unlike_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(8, a, 1), (8, b, 2), (9, b + " x", 3), (7, a + " y", 4), (5, c, 5), (5, c, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long")
+    found = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in J.jaccard_components(df, 3, 9, 10).collect())
+    assert found == [(5, 28, 5), (5, 28, 5), (7, 29, 7), (8, 28, 7), (8, 28, 7), (9, 29, 7)]
+    # Without their common id the texts of 8 are two documents.
+    kept = sorted((r["doc_id"], r["text"]) for r in J.keep_one(df, 3, 9, 10).collect())
+    assert kept == sorted([(7, a + " y"), (8, b), (5, c)])
+
+
 def test_one_of_each_group_stays(spark):
     rows = near_copies(4)
     df = spark.createDataFrame([(*r, "s") for r in rows], f"{DOCS}, class_id string")
@@ -166,6 +200,12 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert E.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_magnitudes(spark):
+    rows = [(1, [1e-200, 0.0], 1), (2, [1e-200, 1e-202], 1), (3, [1e200, 1.01e200], 1), (4, [1.0, 1.0], 1), (5, [1e308, 1e308], 1), (6, [5e-324, 0.0], 1), (7, [-1e200, 0.0], 1)]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 6: (2, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 7: (0, 7)}
+
+
 def test_repeated_vectors(spark):
     rows = [(1, [1.0, 0.0], 1, "", 0), (1, [1.0, 0.0], 1, "", 0), (None, [1.0, 0.0], 1, "", 0), (2, [1.0, 0.01], 1, "", 0)]
     found = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in E.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()), key=repr)
@@ -199,9 +239,30 @@ def test_lines(spark):
 
 
 def test_copied_pages_keep_their_lines(spark):
-    rows = [(i, "a copied text\nof two lines", "h") for i in range(50)] + [(100 + i, f"menu\npage {i}", "h") for i in range(20)]
-    found = {r["doc_id"]: r["text"] for r in drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    rows = [(i, "a copied text\nof two lines", "h") for i in range(50)] + [(100 + i, f"menu\npage {i}", "h") for i in range(21)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["text"] for r in drop_boilerplate(df, copies_once=True).collect()}
     assert found[3] == "a copied text\nof two lines" and found[103] == "page 3"
+    # Else each row is a page of its host.
+    found = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in drop_boilerplate(df).collect()}
+    assert found[3] == ("", 2) and found[103] == ("page 3", 1)
+
+
+def test_the_ratio_decides_on_hosts_of_all_sizes(spark):
+    rows = [(100 * n + i, f"menu\npage {i}" if i < m else f"page {i}", f"h{n}") for n, m in ((4, 2), (7, 3), (60, 3), (61, 4), (3, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["text"] for r in drop_boilerplate(df, min_pages=2).collect()}
+    menu = {n: "menu" in found[100 * n] for n in (4, 7, 60, 61, 3)}
+    # Three of sixty pages are a twentieth, which is not exceeded; a line on one page is none of its host's.
+    assert menu == {4: False, 7: False, 60: True, 61: False, 3: True}
+    assert "menu" not in "".join(r["text"] for r in drop_boilerplate(df.where("source = 'h3'")).collect())
+
+
+def test_long_texts_keep_other_lines(spark):
+    long = "\n".join(["menu", *[f"line {i}" for i in range(200_000)], "menu"])
+    df = spark.createDataFrame([(1, long, "h"), (1, long, "h"), (2, "menu", "h")], "doc_id long, text string, source string")
+    found = drop_boilerplate(df, ratio=0.9, min_pages=2).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"]) for r in found) == [(1, 200_002, 2), (1, 200_002, 2), (2, 1, 1)]
 
 
 def test_lines_on_all_documents(spark):
@@ -216,4 +277,4 @@ def test_lines_broadcast_limit(spark, monkeypatch):
 
     monkeypatch.setattr(L, "BROADCAST_LINES", 0)
     df = spark.createDataFrame([(i, f"menu\nx{i}", "h") for i in range(9)], "doc_id long, text string, source string")
-    assert {r["text"] for r in drop_boilerplate(df).select(F.col("text")).collect()} == {f"x{i}" for i in range(9)}
+    assert {r["text"] for r in drop_boilerplate(df, min_pages=2).select(F.col("text")).collect()} == {f"x{i}" for i in range(9)}

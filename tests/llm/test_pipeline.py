@@ -32,7 +32,7 @@ def test_stages(spark, tmp_path):
 
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/language_id/*.parquet'")
-    expected = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, text FROM ({line_dedup_sql(Q.LINE_RATIO, Q.LINE_PAGES)})").fetchall()}
+    expected = {r[0]: r[1] for r in con.execute(f"SELECT doc_id, text FROM ({line_dedup_sql(Q.LINE_RATIO, Q.LINE_PAGES, copies_once=True)})").fetchall()}
     lines = {r["doc_id"]: r for r in out["line_dedup"].collect()}
     assert {i: r["text"] for i, r in lines.items()} == expected
     assert all(r["n_chars"] == len(r["text"]) for r in lines.values())
