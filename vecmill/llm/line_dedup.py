@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .storage import materialize
 
-#: Boilerplate lines that are broadcast (24 bytes each); with more, pages and lines meet by a shuffle on the host and one of SALTS numbers.
+#: Boilerplate lines that are broadcast (8 bytes each); with more, pages and lines meet by a shuffle on the host and one of SALTS numbers.
 BROADCAST_LINES, SALTS = 1 << 20, 64
 
 
@@ -27,17 +27,20 @@ def _bare(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r"))
 
 
-def _key(line: Column) -> Column:
-    bare = _bare(line)
-    return F.struct(F.xxhash64(bare).alias("h"), F.length(bare).alias("n"))
+def _keys(text: str) -> Column:
+    """A number for each line: the hash of its length and of what stands in it; 0 for blank lines.
+
+    Numbers, as distinct structs would be found by comparing all with all.
+    """
+    return F.transform(_lines(text), lambda x: F.when(_bare(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(F.length(_bare(x)), _bare(x))))
 
 
 def boilerplate_lines(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int = 1, copies_once: bool = False) -> DataFrame:
-    """The lines to drop: ``host, line (struct of hash and length), pages, host_pages``."""
+    """The lines to drop: ``host, line (see _keys), pages, host_pages``."""
     pages = docs.where(F.col(text).isNotNull()).select(F.col(host).alias("host"), F.struct(F.xxhash64(text).alias("h"), F.length(text).alias("n")).alias("page"), F.col(text).alias("text"))
     number = F.count_distinct("page") if copies_once else F.count("*")
     totals = pages.groupBy("host").agg(number.alias("host_pages"))
-    each = pages.select("host", "page", F.explode(F.array_distinct(F.transform(_lines("text"), _key))).alias("line")).where("line.n > 0")
+    each = pages.select("host", "page", F.explode(F.array_distinct(_keys("text"))).alias("line")).where("line <> 0")
     if copies_once:
         # The page is part of the key of the first exchange, so a line on a third of all pages is dealt out evenly.
         each = each.distinct()
@@ -66,7 +69,8 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
         by_host = by_host.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
         rows = rows.join(by_host, F.col("own").eqNullSafe(F.col("h")) & (F.col("salt") == F.col("part")), "left")
-    kept = F.when(F.col("drop").isNull(), _lines("text")).otherwise(F.filter(_lines("text"), lambda x: ~F.array_contains(F.col("drop"), _key(x))))
+    key = lambda x: F.xxhash64(F.length(_bare(x)), _bare(x))
+    kept = F.when(F.col("drop").isNull(), _lines("text")).otherwise(F.filter(_lines("text"), lambda x: ~F.array_contains(F.col("drop"), key(x))))
     rows = rows.select("row", "text", kept.alias("kept"))
     size = lambda c: F.when(F.col("text").isNull(), 0).otherwise(F.size(c)).cast("long")
     new = {"n_lines": size(_lines("text")), "n_dropped": size(_lines("text")) - size(F.col("kept"))} if counts else {}
