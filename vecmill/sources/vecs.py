@@ -143,11 +143,9 @@ class VecsWriter(DataSourceWriter):
 
     def __init__(self, options: dict, schema, overwrite: bool):
         self.path, self.kind = options["path"], _element_type(options)
-        self.at = schema.names.index("embedding")
+        self.at, self.overwrite = schema.names.index("embedding"), overwrite
         fs, path = _store(self.path)
         fs.create_dir(path, recursive=True)
-        if overwrite:
-            fs.delete_dir_contents(path)
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -162,7 +160,15 @@ class VecsWriter(DataSourceWriter):
         return _Written(hidden)
 
     def commit(self, messages):
-        fs, _ = _store(self.path)
+        from pyarrow.fs import FileSelector, FileType
+
+        fs, path = _store(self.path)
+        if self.overwrite:
+            # What stood here goes only now that all new files are written.
+            new = {m.path.rpartition("/")[2] for m in messages if m is not None}
+            for old in fs.get_file_info(FileSelector(path)):
+                if old.base_name not in new:
+                    (fs.delete_dir if old.type == FileType.Directory else fs.delete_file)(old.path)
         for m in messages:
             if m is not None:
                 folder, _, name = m.path.rpartition("/")
