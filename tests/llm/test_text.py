@@ -214,10 +214,11 @@ def test_template_language():
     assert show("{% set y = x['k'] %}{{ y | upper }}{{ none }}", x={"k": "v"}) == "V"
     assert show("{{ '\\'' + \"\\n\" }}") == "'\n"
     assert list(chat.Template("a{% generation %}b{% endgeneration %}").render()) == [("a", False), ("b", True)]
-    for bad in ("{% for x %}{% endfor %}", "{{ x.__class__() }}", "{{ x | open }}", "{% if x %}", "{% import os %}", "{{ 1 + }}", "{% endfor %}"):
+    assert show("{{ 'a}}b' }}{% if '%}' == x %}c{% endif %}{{ \"{{\" }}{# don't #}", x="%}") == "a}}bc{{"
+    for bad in ("{{ 1 | length }}", "{{ 'a' - 1 }}", "{{ 'a }}", "{% for x %}{% endfor %}", "{{ x.__class__() }}", "{{ x | open }}", "{% if x %}", "{% import os %}", "{{ 1 + }}", "{% endfor %}"):
         with pytest.raises(chat.TemplateError):
             chat.Template(bad)
-    for reach in ("{{ x.__class__ }}", "{{ y }}", "{{ x['a'].b }}"):
+    for reach in ("{{ x['a'] - 1 }}", "{{ x['a'] < 1 }}", "{{ x.__class__ }}", "{{ y }}", "{{ x['a'].b }}"):
         with pytest.raises(chat.TemplateError):
             show(reach, x={"a": "s"})
 

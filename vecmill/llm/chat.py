@@ -59,7 +59,9 @@ class TemplateError(ValueError):
     """A template that does not parse, or reaches for what it was not given."""
 
 
-_TAGS = re.compile(r"(\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\})", re.S)
+#: What stands in an expression up to its end: strings, which may hold the signs that end it, and all else.
+_INSIDE = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?"""
+_TAGS = re.compile(rf"(\{{\{{{_INSIDE}\}}\}}|\{{%{_INSIDE}%\}}|\{{#.*?#\}})", re.S)
 _TOKENS = re.compile(r"\s*(?:('(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(\d+)|([A-Za-z_]\w*)|(==|!=|<=|>=|[-+<>|.()\[\]]))")
 _WORDS = {"and", "or", "not", "in", "true", "false", "none"}
 
@@ -158,6 +160,14 @@ _OPERATORS: dict[str, Callable] = {
 }
 
 
+def _applied(f: Callable, *values):
+    """``f(*values)``; values of kinds that it does not take are an error of the template."""
+    try:
+        return f(*values)
+    except (TypeError, AttributeError) as wrong:
+        raise TemplateError(str(wrong)) from wrong
+
+
 def fold(node: tuple) -> tuple:
     """The expression with all parts computed that have only constants."""
     kind, *parts = node
@@ -165,12 +175,12 @@ def fold(node: tuple) -> tuple:
         return node
     if kind == "filter":
         inner = fold(parts[1])
-        return ("const", FILTERS[parts[0]](inner[1])) if inner[0] == "const" else ("filter", parts[0], inner)
+        return ("const", _applied(FILTERS[parts[0]], inner[1])) if inner[0] == "const" else ("filter", parts[0], inner)
     parts = [fold(p) for p in parts]
     if kind in ("and", "or") and parts[0][0] == "const":
         return parts[1] if bool(parts[0][1]) == (kind == "and") else parts[0]
     if kind in ("not", *_OPERATORS) and all(p[0] == "const" for p in parts):
-        return ("const", not parts[0][1] if kind == "not" else _OPERATORS[kind](parts[0][1], parts[1][1]))
+        return ("const", not parts[0][1] if kind == "not" else _applied(_OPERATORS[kind], parts[0][1], parts[1][1]))
     return (kind, *parts)
 
 
@@ -189,7 +199,7 @@ def _value(node: tuple) -> Callable[[dict], object]:
         return name
     if kind == "filter":
         inner, f = _value(parts[1]), FILTERS[parts[0]]
-        return lambda scope: f(inner(scope))
+        return lambda scope: _applied(f, inner(scope))
     left = _value(parts[0])
     if kind == "not":
         return lambda scope: not left(scope)
@@ -208,7 +218,7 @@ def _value(node: tuple) -> Callable[[dict], object]:
 
         return key
     operate = _OPERATORS[kind]
-    return lambda scope: operate(left(scope), right(scope))
+    return lambda scope: _applied(operate, left(scope), right(scope))
 
 
 class Template:
@@ -245,6 +255,8 @@ class Template:
                 return nodes
             self._at += 1
             if tag is None and not part.startswith(("{{", "{#")):
+                if "{{" in part or "{%" in part:
+                    raise TemplateError(f"a tag is never closed: {part!r}")
                 text(part)
             elif tag is None and part.startswith("{{"):
                 node = fold(_Expression(part[2:-2]).parse())
