@@ -8,10 +8,11 @@ twenty tables with 0.9998, and with more the nearer they are.  Vectors that
 share a bucket are compared by their exact cosine in double precision.
 
 Equal vectors are one class with a count.  Buckets are divided into blocks, and
-a task compares two blocks at a time, so no bucket has to fit one task.  Of a
+a task compares two blocks at a time, so no bucket has to fit one task; blocks
+grow with the root of the bucket, as does the number of times a vector is sent.  Of a
 pair that shares several buckets only the first table counts, which the keys of
 both show at once: numbers of links are sums, and no pair is emitted.  What
-leaves a block are the sums and a spanning forest of its links.
+leaves a block are the sums and the components of its links.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import connected_components
-from .storage import batch_rows, materialize, tidy
+from .storage import batch_rows, discarding, materialize, tidy
 
 TABLES, PROJECTIONS, WIDTH, SEED = 20, 6, 1.0, 20240917
-#: Vectors of a block; a task holds two.
-BLOCK = 512
+#: A bucket of m vectors has about the root of m / BLOCK blocks, each of which meets every other; elements of a similarity matrix.
+BLOCK, ELEMENTS = 1024, 1 << 21
 
 
 def _projection(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,10 +38,16 @@ def _projection(dim: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.standard_normal((dim, TABLES * PROJECTIONS)), rng.uniform(0.0, WIDTH, TABLES * PROJECTIONS)
 
 
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one; they are scaled by their largest component first, so no square under- or overflows."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def bucket_keys(vectors: np.ndarray) -> np.ndarray:
     """A 64-bit key for each vector (row) and table."""
     directions, shift = _projection(vectors.shape[1])
-    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = unit_vectors(vectors)
     steps = np.floor((unit @ directions + shift) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(vectors), TABLES, PROJECTIONS)
     keys = np.zeros((len(vectors), TABLES), dtype=np.uint64)
     for k in range(PROJECTIONS):
@@ -86,56 +93,37 @@ def _runs(batches, names: list[str]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _links(vectors: np.ndarray, keys: np.ndarray, own: np.ndarray, table: int, i: int, j: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the linked pairs of a block pair that no earlier table has."""
+def _links(unit: np.ndarray, keys: np.ndarray, own: np.ndarray, table: int, i: int, j: int, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the linked pairs of a block pair that no earlier table has, part by part."""
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-    norms = np.linalg.norm(vectors, axis=1)
-    similar = (vectors[left] @ vectors[right].T) / (norms[left][:, None] * norms[right][None, :])
-    a, b = np.nonzero(similar >= cosine)
-    a, b = left[a], right[b]
-    if i == j:
-        a, b = a[a < b], b[a < b]
-    new = np.ones(len(a), dtype=bool)
-    for at in range(0, len(a), 1 << 16):
-        part = slice(at, at + (1 << 16))
-        new[part] = ~(keys[a[part], :table] == keys[b[part], :table]).any(axis=1)
-    return a[new], b[new]
-
-
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Links between the rows of one block pair that keep its components."""
-    root = list(range(n))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = find(x), find(y)
-        if p != q:
-            root[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
-
-
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
-    """Links between vectors of one label: ``vec_id, n_links, component_id, kept, class_id, class_size``.
-
-    vectors: ``vec_id, embedding, label`` (other columns are not read); one row per row.  Two rows
-    link if their labels are equal, their dimensions are equal and their cosine reaches ``cosine``.
-    n_links counts the other rows that a row links with, copies each; component_id is the smallest
-    vec_id reachable.  Rows with a null label, a null vec_id, or a vector that is null, empty, zero
-    or holds null or non-finite components link with nothing.
-    """
-    finite = "not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
-    wide = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label_key"))
-    usable = F.coalesce(F.expr(f"vec_id is not null and label_key is not null and embedding is not null and {finite}"), F.lit(False))
-    rows = wide.select("vec_id", F.when(usable, F.col("label_key")).alias("label_key"), F.when(usable, F.col("embedding")).alias("vector"))
-    usable_rows = rows.where("vector is not null")
-    classes = usable_rows.groupBy("label_key", "vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"))
+    step = max(1, ELEMENTS // max(1, len(right)))
+    for first in range(0, len(left), step):
+        a, b = np.nonzero(unit[left[first : first + step]] @ unit[right].T >= cosine)
+        a, b = left[first + a], right[b]
+        if i == j:
+            a, b = a[a < b], b[a < b]
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            new = ~(keys[x, :table] == keys[y, :table]).any(axis=1)
+            yield x[new], y[new]
+
+
+def _hooked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component after the links between rows ``a`` and ``b``."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+
+
+def _linked(rows: DataFrame, cosine: float) -> DataFrame:
+    """``class_id, n, label_key, vector, links, component_id`` of the classes of equal vectors."""
+    classes = rows.groupBy("label_key", "vector").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n"))
     classes = classes.select("class_id", "n", "label_key", F.size("vector").alias("dim"), "vector")
     classes = materialize(_with_keys(classes), "classes")
 
@@ -144,7 +132,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     full = materialize(places.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     entries = materialize(places.join(full, bucket).select("class_id", "t", "key", "size"), "entries")
 
-    blocks = F.expr(f"cast(ceil(size / {BLOCK}) as int)")
+    blocks = F.expr(f"cast(ceil(sqrt(size / {BLOCK})) as int)")
     entries = entries.withColumn("own", F.pmod(F.xxhash64("class_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     entries = entries.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     group = ["label_key", "dim", "t", "key", "i", "j"]
@@ -156,23 +144,46 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
             t, i, j = (run.column(c)[0].as_py() for c in ("t", "i", "j"))
             ids, n, own = (run.column(c).to_numpy() for c in ("class_id", "n", "own"))
             stack = lambda c, kind: np.concatenate([np.asarray(x.flatten(), dtype=kind).reshape(len(x), -1) for x in run.column(c).chunks])
-            a, b = _links(stack("vector", np.float64), stack("keys", np.int64), own, t, i, j, cosine)
-            if not len(a):
-                continue
-            links = np.bincount(a, weights=n[b], minlength=len(ids)) + np.bincount(b, weights=n[a], minlength=len(ids))
+            keys, unit = stack("keys", np.int64), unit_vectors(stack("vector", np.float64))
+            links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for a, b in _links(unit, keys, own, t, i, j, cosine):
+                # Counts are whole numbers below 2 ** 53, so sums of doubles are exact.
+                links += (np.bincount(a, weights=n[b], minlength=len(ids)) + np.bincount(b, weights=n[a], minlength=len(ids))).astype(np.int64)
+                root = _hooked(root, a, b)
             at = np.flatnonzero(links)
-            edges = _forest(a, b, len(ids))
-            x = np.concatenate([ids[at], ids[[e[0] for e in edges]]])
-            to = pa.array([None] * len(at) + ids[[e[1] for e in edges]].tolist(), pa.int64())
-            sums = pa.array(np.concatenate([links[at].astype(np.int64), np.zeros(len(edges), np.int64)]))
+            if not len(at):
+                continue
+            tied = np.flatnonzero(root != np.arange(len(ids)))
+            x = np.concatenate([ids[at], ids[tied]])
+            to = pa.array([None] * len(at) + ids[root[tied]].tolist(), pa.int64())
+            sums = pa.array(np.concatenate([links[at], np.zeros(len(tied), np.int64)]))
             yield pa.RecordBatch.from_arrays([pa.array(x), to, sums], ["a", "b", "links"])
 
-    with batch_rows(vectors.sparkSession, 2000):
+    with batch_rows(rows.sparkSession, 2000):
         found = materialize(tasks.mapInArrow(tidy(compare), "a long, b long, links long"), "found")
-    components = materialize(connected_components(found.where("b is not null")), "components")
+    components = connected_components(found.where("b is not null"))
     sums = found.where("b is null").groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("links"))
     result = classes.select("class_id", "n", "label_key", "vector").join(sums, "class_id", "left").join(components.withColumnRenamed("id", "class_id"), "class_id", "left")
-    result = materialize(result.select("class_id", "n", "label_key", "vector", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "class_id").alias("component_id")), "linked")
+    return materialize(result.select("class_id", "n", "label_key", "vector", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "class_id").alias("component_id")), "linked")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
+    """Links between vectors of one label: ``vec_id, n_links, component_id, kept, class_id, class_size``.
+
+    vectors: ``vec_id, embedding, label`` (other columns are not read); one row per row.  Two rows
+    link if their labels are equal, their dimensions are equal and their cosine reaches ``cosine``.
+    n_links counts the other rows that a row links with, copies each; component_id is the smallest
+    vec_id reachable.  Rows with a null label, a null vec_id, or a vector that is null, empty, zero
+    or holds null or non-finite components link with nothing.  All finite components count, however
+    small or large.  Repeated rows are copies that link with each other; very long vectors are taken
+    whole; an empty table gives no rows.
+    """
+    finite = "not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(embedding, x -> x <> 0)"
+    wide = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label_key"))
+    usable = F.coalesce(F.expr(f"vec_id is not null and label_key is not null and embedding is not null and {finite}"), F.lit(False))
+    rows = wide.select("vec_id", F.when(usable, F.col("label_key")).alias("label_key"), F.when(usable, F.col("embedding")).alias("vector"))
+    with discarding() as keep:
+        result = keep(_linked(rows.where("vector is not null"), cosine))
 
     joined = rows.join(result, ["label_key", "vector"], "left")
     return joined.select(
