@@ -58,6 +58,10 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return (none, none) if rule is None else (rule, verdict)
 
 
+#: Characters that a task takes, about.
+TASK_CHARS = 1 << 18
+
+
 def _grams(urls: DataFrame, *keep: str) -> DataFrame:
     """One row ``code`` per character: its symbol and the three before it, as a number to the base BASE."""
     symbols = F.expr(f"transform(filter(split(lower(url), ''), c -> c <> ''), c -> coalesce(nullif(instr('{SYMBOLS}', c), 0), {BASE - 1}))")
@@ -112,13 +116,18 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) ->
 
     pages: ``page_id, url`` (other columns are not read); one row per row.  A null or empty URL, or
     one without ``://``, has an empty host and path; without a score it is allowed, as are all URLs
-    without a rule if no URL is accepted by rule or none rejected.  Rules are at most some hundreds.
+    without a rule if no URL is accepted by rule or none rejected.  Very long URLs are taken whole.  Of
+    rules of equal length that fit, the first by name holds; a score equal to the threshold is allowed.
+    Repeated rows have one verdict.  An empty table gives no rows.  Rules are at most some hundreds.
     """
     host, path = address(F.col("url"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"))
     urls = materialize(rows.where("url is not null").groupBy("url").agg(F.count("*").alias("n"), F.min("ruled").alias("verdict")), "urls")
+    # A row becomes as many as it has characters; dealt by URL they need no shuffle to be summed.
+    size = urls.agg(F.coalesce(F.sum(F.length("url")), F.lit(0))).first()[0]
+    urls = urls.repartition(max(1, -(-size // TASK_CHARS)), "url")
     grams, backs = fit(urls.where("verdict is not null"))
     scores = materialize(score(urls, grams, backs), "scores")
 
