@@ -313,6 +313,16 @@ def test_search_against_brute_force(spark, small, monkeypatch):
     assert bm25.search(df.limit(0), queries, 5).count() == 0 and bm25.search(df, queries.limit(0), 5).count() == 0
 
 
+def test_search_sends_no_query_to_each_shard(spark, monkeypatch):
+    """Queries and shards meet where they lie: what is shuffled and written doesn't grow with queries times shards."""
+    plans, write = {}, bm25.materialize
+    monkeypatch.setattr(bm25, "materialize", lambda df, name: (plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 2)
+    df = spark.createDataFrame([(i, f"w{i} w{i % 7}") for i in range(60)], DOCS)
+    assert bm25.search(df, df, 1).count() == 60
+    assert len(plans["results"]) == 2 and not any("Exchange" in p or "Broadcast" in p for p in plans["results"])
+
+
 def test_search_skips_what_cannot_be_found():
     """Blocks and lists below the k-th score are not read, and ties at the k-th place all come back."""
     rng = np.random.default_rng(0)
