@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import connection, same_rows
+from vecmill.llm import components as C
 from vecmill.llm import embed_dedup as E
 from vecmill.llm import jaccard_join as J
 from vecmill.llm import queries as Q
@@ -173,6 +174,21 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch):
+    """A chain of 2000 is joined by one task; with a lower bound rounds contract first, to the same result."""
+    written, write = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, name: (written.append(name), write(df, name))[1])
+    links = [(i, i + 1) for i in range(2000)] + [(5000 + i, 5000 + i * 7 % 100) for i in range(100)]
+    df = spark.createDataFrame([links[i * 37 % 2100] for i in range(2100)], "a long, b long")
+    real = [x for x in links if x[0] != x[1]]
+    expected = brute_components({i for x in real for i in x}, real)
+    assert {r["id"]: r["component_id"] for r in connected_components(df).collect()} == expected
+    assert len(written) <= 3
+    monkeypatch.setattr(C, "FEW", 500)
+    assert {r["id"]: r["component_id"] for r in connected_components(df).collect()} == expected
+    assert len(written) > 6
+
+
 def brute_vectors(rows):
     def usable(v, label):
         return label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
