@@ -189,6 +189,28 @@ def test_components_of_few_links_take_no_rounds(spark, monkeypatch):
     assert len(written) > 6
 
 
+def test_counting_a_block_of_shingles_holds_little_more_than_the_block():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    tracemalloc.start()
+    block = [np.unique(rng.integers(0, 1 << 40, 300).astype(np.uint64)) for _ in range(4000)]
+    block += [block[0]] * 4
+    pool = [x[:75] for x in block]
+    values, n = np.unique(np.concatenate(block), return_counts=True)
+    keep = (n >= J.REPORTED) | np.isin(values, np.concatenate(pool))
+    expected = dict(zip(values[keep].view(np.int64).tolist(), n[keep].tolist(), strict=True)) | {None: 7}
+    size = sum(map(len, block)) * 8
+    del values, n, keep
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    found = J._report(block, pool, 7)
+    assert tracemalloc.get_traced_memory()[1] - before < 3.5 * size
+    tracemalloc.stop()
+    assert dict(zip(found["h"].to_pylist(), found["n"].to_pylist(), strict=True)) == expected
+    assert J._report([], [], 0).to_pylist() == [{"h": None, "n": 0}]
+
+
 def brute_vectors(rows):
     def usable(v, label):
         return label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)

@@ -81,19 +81,33 @@ def _prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def _report(block: list[np.ndarray], pool: list[np.ndarray], total: int) -> pa.RecordBatch:
+    """What is frequent in a block or in its pool, with its count; empties both lists, so little more than the block is held.
+
+    The pool's arrays are parts of the block's, which are freed with both.
+    """
+    low = np.concatenate([np.empty(0, np.uint64), *pool])
+    pool.clear()
+    values = np.concatenate([np.empty(0, np.uint64), *block])
+    block.clear()
+    values.sort()
+    hit = np.zeros(len(values), dtype=bool)
+    hit[np.searchsorted(values, low)] = True
+    new = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    counts = np.empty(len(first), dtype=np.int64)
+    np.subtract(first[1:], first[:-1], out=counts[:-1])
+    counts[-1:] = len(values) - first[-1:]
+    keep = (counts >= REPORTED) | hit[first]
+    # The row without a hash carries the number of occurrences counted.
+    h = pa.concat_arrays([pa.array(values[first[keep]].view(np.int64)), pa.array([None], pa.int64())])
+    return pa.RecordBatch.from_arrays([h, pa.array(np.append(counts[keep], total))], ["h", "n"])
+
+
 def _order(docs: DataFrame, width: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, Bitset]:
     """What the order of shingles rests on: hashes (sorted) and counts of the frequent ones, and a filter of the shared ones."""
 
-    def report(block: list[np.ndarray], pool: list[np.ndarray], total: int) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(block), return_counts=True) if block else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        low = np.unique(np.concatenate(pool)) if pool else np.empty(0, np.uint64)
-        keep = counts >= REPORTED
-        if len(low):
-            keep |= low[np.minimum(np.searchsorted(low, values), len(low) - 1)] == values
-        # The row without a hash carries the number of occurrences counted.
-        h = pa.concat_arrays([pa.array(values[keep].view(np.int64)), pa.array([None], pa.int64())])
-        return pa.RecordBatch.from_arrays([h, pa.array(np.append(counts[keep], total))], ["h", "n"])
-
     def count(batches):
         block, pool, size = [], [], 0
         for batch in batches:
@@ -102,9 +116,9 @@ def _order(docs: DataFrame, width: int, num: int, den: int) -> tuple[np.ndarray,
                 pool.append(found[: _prefix_size(len(found), num, den) * POOL // 4])
                 size += len(found)
                 if size >= BLOCK:
-                    yield report(block, pool, size)
+                    yield _report(block, pool, size)
                     block, pool, size = [], [], 0
-        yield report(block, pool, size)
+        yield _report(block, pool, size)
 
     with batch_rows(docs.sparkSession, TEXT_ROWS):
         counts = docs.select("text").mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1 or h is null")
