@@ -143,6 +143,28 @@ def test_packing_edges(spark, reference):
     assert sorted((r["doc_id"] or 0, r["length"]) for r in twice) == [(0, 2), (7, 2), (7, 2)]
 
 
+def test_packing_holds_few_texts(spark, monkeypatch, tmp_path):
+    """A task over many texts is handed a few at a time, whatever the session's batches; the setting is as it was afterwards."""
+
+    def noting(run):
+        def noted(batches):
+            for batch in batches:
+                if "text" in batch.schema.names:
+                    with open(f"{tmp_path}/rows", "a") as f:
+                        f.write(f"{batch.num_rows}\n")
+                yield batch
+
+        return lambda batches: run(noted(batches))
+
+    monkeypatch.setattr(packing, "tidy", noting)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    rows = packing.pack_documents(spark.range(3000).selectExpr("id AS doc_id", "repeat('word ', 100) AS text").coalesce(1), PATH).collect()
+    assert {r["doc_id"] for r in rows} == set(range(3000)) and spark.conf.get(key) == before
+    held = [int(x) for x in (tmp_path / "rows").read_text().split()]
+    assert sum(held) == 3000 and max(held) <= 250
+
+
 def test_packer_is_best_fit_in_bounded_space():
     p = packing.OnlinePacker(window=10, open_windows=2)
     add = lambda key, n: [(number, [x[0] for x in pieces]) for number, pieces in p.add(key, np.arange(n))]

@@ -21,10 +21,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import tidy
+from .storage import batch_rows, materialize, tidy
 
 #: Open windows of a partition, and partitions whose last windows one task merges.
 OPEN, MERGED = 64, 32
+#: Rows of an Arrow batch of texts, of which JVM and Python worker each hold one or two.
+BATCH = 200
 END_OF_TEXT = 1
 #: Blanks in a row from which a text goes to the streaming encoder.
 BLANKS = 100_000
@@ -142,7 +144,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, open_wi
     of one token.  Documents longer than a window, very long ones too, are cut into whole windows and
     a rest; leftovers may be cut again where they are merged.  A null doc_id stays null; repeated rows
     are packed each.  Of windows with equal room the one opened first is taken.  An empty table gives
-    no rows.  Windows with fewer than ``window`` tokens are to be padded.
+    no rows.  Windows with fewer than ``window`` tokens are to be padded.  The call packs and writes the
+    pieces to the shared folder; merging the last windows is left to who reads the result.
     """
     fields = PIECES + ", ids binary"
     first = fields + ", merge_key long"
@@ -198,7 +201,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, open_wi
             return _shown([dict(zip([*_NAMES, "ids"], r, strict=True)) for r in out])
         return _batch([r[:-1] for r in out], PIECES)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(pack), first)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Written here, as the size of a batch is the session's at the time of a job, and the caller's job would have its own.
+    with batch_rows(docs.sparkSession, BATCH):
+        rows = materialize(texts.mapInArrow(tidy(pack), first), "pieces")
     # Finished rows are spread evenly; only a window's leftovers of each partition are brought together.
     return rows.repartition("merge_key").sortWithinPartitions("merge_key").mapInArrow(tidy(merge), PIECES + ", ids array<int>" * with_ids)
 
