@@ -345,6 +345,54 @@ def test_search_sends_no_query_to_each_shard(spark, monkeypatch):
     assert len(plans["results"]) == 2 and not any("Exchange" in p or "Broadcast" in p for p in plans["results"])
 
 
+def test_search_hands_a_shard_once_to_all_packs(spark, monkeypatch, tmp_path):
+    """A worker gets the bytes of a shard with the first pack of its group only, and numbers as narrow as they may be."""
+
+    def noting(run):
+        def noted(batches):
+            from pyspark import TaskContext
+
+            for batch in batches:
+                if "queries" in batch.schema.names:
+                    task = TaskContext.get().taskAttemptId()
+                    with open(f"{tmp_path}/{task}", "a") as f:
+                        f.writelines(f"{r['doc_ids'].hex() if r['doc_ids'] else '-'}\n" for r in batch.to_pylist())
+                yield batch
+
+        return lambda batches: run(noted(batches))
+
+    for name, value in (("SHARD_DOCS", 10), ("PACK_TERMS", 10), ("AHEAD", 3)):
+        monkeypatch.setattr(bm25, name, value)
+    monkeypatch.setattr(bm25, "tidy", noting)
+    df = spark.createDataFrame([(i, f"w{i} w{i % 7}") for i in range(60)], DOCS)
+    assert bm25.search(df, df, 1).count() == 60
+    tasks = [f.read_text().split() for f in tmp_path.iterdir()]
+    sent = [[x for x in rows if x != "-"] for rows in tasks]
+    assert all(rows[0] != "-" and len(own) == len(set(own)) for rows, own in zip(tasks, sent, strict=True))
+    assert sum(map(len, tasks)) > 2 * sum(map(len, sent)) > 0
+    assert {len(r["docs"]) / np.frombuffer(r["starts"], "<i8")[-1] for r in bm25.build_index(df).collect()} == {1.0}
+
+
+def test_shard_is_built_in_little_memory():
+    """Some 30 bytes a posting at the peak, whether numbers of postings are wide or narrow."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    n, lists = 4096, 2000
+    docs = np.concatenate([np.sort(rng.choice(n, 500, replace=False)) for _ in range(lists)])
+    parts = {"doc_ids": (np.arange(n), "<i8"), "lengths": (np.full(n, 100), "<i8"), "terms": (np.arange(lists), "<u8"), "starts": (np.arange(lists + 1) * 500, "<i8")}
+    found = []
+    for wide, narrow in (("<u4", "<u4"), ("<u2", "<u1")):
+        row = {c: x.astype(kind).tobytes() for c, (x, kind) in (parts | {"docs": (docs, wide), "counts": (docs % 5 + 1, narrow)}).items()}
+        tracemalloc.start()
+        shard = bm25.Shard(row, 90.0)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 * len(docs)
+        found.append(shard.search(np.arange(50, dtype=np.uint64), np.ones(50), 10, 1e-6))
+    assert np.array_equal(found[0][0], found[1][0]) and np.array_equal(found[0][1], found[1][1])
+
+
 def test_search_skips_what_cannot_be_found():
     """Blocks and lists below the k-th score are not read, and ties at the k-th place all come back."""
     rng = np.random.default_rng(0)
